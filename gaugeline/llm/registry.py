@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from gaugeline.llm import line_dedup, sharding
+from gaugeline.llm import line_dedup, quality, sharding, toxicity
 
 QUERIES = {
+    "op1_toxicity_knn": toxicity.op1_toxicity_knn,
     "op4_sharding": sharding.op4_sharding,
+    "op9_quality_bradley_terry": quality.op9_quality_bradley_terry,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
