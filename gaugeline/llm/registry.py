@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from gaugeline.llm import line_dedup, quality, sharding, toxicity
+from gaugeline.llm import bpe, line_dedup, packing, quality, sharding, toxicity
 
 QUERIES = {
     "op1_toxicity_knn": toxicity.op1_toxicity_knn,
     "op4_sharding": sharding.op4_sharding,
+    "op6_packing": packing.op6_packing,
+    "op7_bpe": bpe.op7_bpe,
     "op9_quality_bradley_terry": quality.op9_quality_bradley_terry,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
