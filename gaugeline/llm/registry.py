@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from gaugeline.llm import bpe, line_dedup, packing, quality, sharding, toxicity
+from gaugeline.llm import bpe, hnsw, line_dedup, packing, quality, sharding, toxicity, vafile
 
 QUERIES = {
     "op1_toxicity_knn": toxicity.op1_toxicity_knn,
     "op4_sharding": sharding.op4_sharding,
+    "op5_vafile": vafile.op5_vafile,
     "op6_packing": packing.op6_packing,
     "op7_bpe": bpe.op7_bpe,
+    "op8_hnsw": hnsw.op8_hnsw,
     "op9_quality_bradley_terry": quality.op9_quality_bradley_terry,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 ORACLES = {
+    "op5_vafile": vafile.OP5_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }
