@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from gaugeline.llm import bpe, hnsw, line_dedup, packing, quality, sharding, toxicity, vafile
+from gaugeline.llm import bpe, hnsw, jaccard, line_dedup, packing, quality, sharding, toxicity, vafile
 
 QUERIES = {
     "op1_toxicity_knn": toxicity.op1_toxicity_knn,
+    "op2_jaccard_join": jaccard.op2_jaccard_join,
     "op4_sharding": sharding.op4_sharding,
     "op5_vafile": vafile.op5_vafile,
     "op6_packing": packing.op6_packing,
