@@ -24,11 +24,14 @@ import functools
 import hashlib
 import heapq
 import importlib.util
+import itertools
 import json
+import re
 import sys
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -39,11 +42,13 @@ from gaugeline.llm.common import read
 #: Folder of the public tokenizer files; a parameter of everything that reads one.
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose result a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 150_000
+#: Words whose ids a worker remembers, in each of two generations.
+REMEMBERED = 300_000
+#: Bytes of the longest word that is encoded together with others, and documents looked up together.
+BULK = 32
+TOGETHER = 400
+_NO_RANK = 1 << 40
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-_SPACE_RUN = regex.compile(f"[{_SPACES}]+")
-_NOT_SPACES = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
 def vocabulary_path(name: str = VOCABULARY, folder: str = TOKENIZERS) -> str:
@@ -97,16 +102,38 @@ class Bpe:
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.word = regex.compile(pattern.replace("\\s", _SPACES))
+        # the same pattern with its classes spelt out for lower-case ASCII
+        self.plain = re.compile(pattern.replace("[\\p{L}]", "[a-z]").replace("[\\p{N}]", "[0-9]").replace("\\s", "\\t-\\r ").replace("\\p{L}", "a-z").replace("\\p{N}", "0-9"))
         self.alphabet = byte_alphabet()
+        self._raw: dict[int, bytes] = {}
+        self.byte_of = {c: b for b, c in enumerate(self.alphabet)}
         self.decodes_bytes = bool(spec.get("decoder"))
+        keys = np.array([(self.ids[a] << 20) + self.ids[b] for a, b in merges], np.int64)
+        order = np.argsort(keys, kind="stable")
+        self._keys, self._rank_of = keys[order], order.astype(np.int64)
+        self._result = np.array([self.ids[a + b] for a, b in merges], np.int64)
+        self._base = np.array([self.ids[c] for c in self.alphabet], np.int64)
+        self._base_end = np.array([self.ids[c + self.suffix] for c in self.alphabet], np.int64)
         self.lookahead = sufficient_lookahead(merges, lambda t: len(t.removesuffix(self.suffix) if self.suffix else t))
         self.block = max(256, self.lookahead)
 
     def _merged(self, symbols: list[str]) -> list[str]:
-        """The merges in rank order, leftmost first, on a linked list with a heap of pairs."""
+        """The merges in rank order, leftmost first: short lists by scanning their pairs, others on a
+        linked list with a heap of pairs."""
         n = len(symbols)
-        if n < 2:
-            return symbols
+        if n < 20:
+            rank = self.rank.get
+            s = list(symbols)
+            while len(s) > 1:
+                best, at = None, 0
+                for i in range(len(s) - 1):
+                    r = rank((s[i], s[i + 1]))
+                    if r is not None and (best is None or r < best):
+                        best, at = r, i
+                if best is None:
+                    break
+                s[at : at + 2] = [s[at] + s[at + 1]]
+            return s
         s: list[str | None] = list(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         rank = self.rank
@@ -150,31 +177,119 @@ class Bpe:
                 window = window[used:]
         yield from self._merged(window)
 
-    def chunk(self, text: str) -> list[int]:
-        """The ids of a piece of text without white space and special tokens."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        ids = self.ids
-        return [ids[t] for w in self.word.findall(text.lower()) for t in self.stream(self._symbols(w))]
-
-    def pieces(self, text: str | None) -> Iterator[str]:
-        """Special tokens, and runs of other characters between white space."""
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word) of many words: those of up to ``BULK`` bytes are merged
+        together, a step of every word at a time, longer ones go through the stream."""
+        raws = [w.encode("utf-8") for w in words]
+        lengths = np.array([len(r) for r in raws], np.int64)
+        short = np.flatnonzero(lengths <= BULK)
+        short = short[np.argsort(lengths[short], kind="stable")]
+        others = [i for i in np.flatnonzero(lengths > BULK).tolist() if words[i] not in self.special]
+        found = [(i, [self.special[w]]) for i, w in enumerate(words) if w in self.special]
+        short = short[[words[i] not in self.special for i in short.tolist()]] if found else short
+        found += [(i, [self.ids[t] for t in self.word_tokens(words[i])]) for i in others]
+        counts = np.zeros(len(words), np.int64)
+        parts = []
+        for at in range(0, len(short), 20_000):
+            which = short[at : at + 20_000]
+            ids, counts[which] = self._merged_all([raws[i] for i in which.tolist()], lengths[which])
+            parts.append((which, ids))
+        for i, ids in found:
+            counts[i] = len(ids)
+            parts.append((np.array([i]), np.array(ids, np.int64)))
+        starts = np.cumsum(counts) - counts
+        flat = np.zeros(int(counts.sum()), np.int32)
+        for which, ids in parts:
+            flat[ranges(starts[which], counts[which])] = ids
+        return flat, counts
+
+    def _merged_all(self, raws: list[bytes], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's best-ranked, leftmost pair is merged in each step until no word has one."""
+        width = int(lengths.max())
+        cells = np.array(raws, dtype=f"S{width}").view(np.uint8).reshape(len(raws), width)
+        m = self._base[cells].astype(np.int64)
+        rows = np.arange(len(raws))
+        m[rows, lengths - 1] = self._base_end[cells[rows, lengths - 1]]
+        m[np.arange(width) >= lengths[:, None]] = -1
+        done, left = m.copy(), lengths.copy()
+        if width > 1:
+            rank, live = self._ranks(m[:, :-1], m[:, 1:]), rows
+            while True:
+                at = rank.argmin(1)
+                has = rank[np.arange(len(live)), at] < _NO_RANK
+                done[live[~has], : m.shape[1]] = m[~has]
+                live, at, m, rank = live[has], at[has], m[has], rank[has]
+                if not len(live):
+                    break
+                k = np.arange(len(live))
+                m[k, at] = self._result[rank[k, at]]
+                left[live] -= 1
+                # what stands right of the pair moves one place to the left
+                move = np.arange(m.shape[1] - 1) > at[:, None]
+                m[:, :-1] = np.where(move, m[:, 1:], m[:, :-1])
+                m[:, -1] = -1
+                rank[:, :-1] = np.where(move[:, :-1], rank[:, 1:], rank[:, :-1])
+                rank[:, -1] = _NO_RANK
+                rank[k, at] = np.where(at + 1 < m.shape[1], self._ranks(m[k, at], m[k, np.minimum(at + 1, m.shape[1] - 1)]), _NO_RANK)
+                before = np.maximum(at - 1, 0)
+                rank[k, before] = np.where(at > 0, self._ranks(m[k, before], m[k, at]), rank[k, before])
+                keep = int(left[live].max())
+                if 1 < keep < m.shape[1]:
+                    m, rank = m[:, :keep], rank[:, : keep - 1]
+        return done[np.arange(width) < left[:, None]], left
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = (a << 20) + b
+        at = np.searchsorted(self._keys, key)
+        at[at == len(self._keys)] = 0
+        return np.where((self._keys[at] == key) & (a >= 0) & (b >= 0), self._rank_of[at], _NO_RANK)
+
+    def words(self, text: str) -> list[str]:
+        """The normalised words of a text without special tokens, in order."""
+        if text.isascii():
+            return self.plain.findall(text.lower())
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        return self.word.findall(text.lower())
+
+    def word_tokens(self, word: str) -> Iterable[str]:
+        """A word's tokens: at once where the whole word lies within the lookahead, else as a stream."""
+        if len(word) < 64 and word.isascii() and word.isprintable():
+            return self._merged([*word[:-1], word[-1] + self.suffix])
+        return self.stream(self._symbols(word))
+
+    def text_words(self, text: str | None) -> list[str]:
+        """The normalised words and the special tokens of a text, in order."""
         if not text:
-            return
-        for part in self.cut.split(text) if self.cut and any(s in text for s in self.special) else (text,):
-            if part in self.special:
-                yield part
-            elif any(c in part for c in _NOT_SPACES):
-                yield from filter(None, _SPACE_RUN.split(part))
-            else:
-                yield from part.split()
+            return []
+        if self.cut and any(s in text for s in self.special):
+            return [w for part in self.cut.split(text) for w in ([part] if part in self.special else self.words(part))]
+        return self.words(text)
 
     def encode(self, text: str | None) -> Iterator[int]:
-        for p in self.pieces(text):
-            if p in self.special:
-                yield self.special[p]
+        for w in self.text_words(text):
+            if w in self.special:
+                yield self.special[w]
             else:
-                yield from self.chunk(p)
+                yield from (self.ids[t] for t in self.word_tokens(w))
+
+    def raw_of(self, token_id: int) -> bytes | None:
+        """The bytes a token stands for: its text if the file has no decoder, else what its characters encode."""
+        raw = self._raw.get(token_id)
+        if raw is None and (token := self.token.get(token_id)) is not None:
+            if not self.decodes_bytes or token in self.special:
+                raw = token.encode("utf-8")
+            else:
+                end = bool(self.suffix) and token.endswith(self.suffix)
+                raw = bytes(self.byte_of[c] for c in (token.removesuffix(self.suffix) if end else token)) + b" " * end
+            self._raw[token_id] = raw
+        return raw
+
+    def raw_table(self) -> dict[int, bytes]:
+        """The bytes of every token."""
+        if len(self._raw) < len(self.token):
+            for i in self.token:
+                self.raw_of(i)
+        return self._raw
 
     def decoder(self) -> Decoder:
         return Decoder(self)
@@ -187,60 +302,140 @@ class Decoder:
         self._bpe = bpe
         self._state = codecs.getincrementaldecoder("utf-8")("replace")
         self._any = False
-        self._byte = {c: b for b, c in enumerate(bpe.alphabet)}
+
+    def _bytes(self, token_id: int) -> bytes:
+        """A token's bytes; unknown ids have none."""
+        raw = self._bpe.raw_of(token_id)
+        if raw is None:
+            return b""
+        if self._any and not self._bpe.decodes_bytes:
+            return b" " + raw
+        self._any = True
+        return raw
 
     def feed(self, token_id: int) -> str:
-        token = self._bpe.token.get(token_id)
-        if token is None:
+        return self._state.decode(self._bytes(token_id))
+
+    def feed_all(self, ids: list[int]) -> str:
+        """What feeding the ids one by one gives, in one step of the state machine."""
+        table = self._bpe.raw_table()
+        try:
+            raws = [table[i] for i in ids]
+        except KeyError:  # unknown ids have no bytes
+            raws = [table[i] for i in ids if i in table]
+        if not raws:
             return ""
-        if not self._bpe.decodes_bytes:
-            raw = ((" " if self._any else "") + token).encode("utf-8")
-        elif token_id in self._bpe.special.values():
-            raw = token.encode("utf-8")
-        else:
-            end = bool(self._bpe.suffix) and token.endswith(self._bpe.suffix)
-            body = token.removesuffix(self._bpe.suffix) if end else token
-            raw = bytes(self._byte[c] for c in body) + b" " * end
+        gap = b"" if self._bpe.decodes_bytes else b" "
+        out = (gap if self._any else b"") + gap.join(raws)
         self._any = True
-        return self._state.decode(raw)
+        return self._state.decode(out)
 
     def finish(self) -> str:
         return self._state.decode(b"", True)
 
 
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of every range, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+class _Slots(dict):
+    """Numbers of words by their first use; ``new`` holds those not yet encoded."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        slot = self[word] = len(self)
+        self.new.append(word)
+        return slot
+
+
+class Lexicon:
+    """The ids of words, remembered in two generations of one array each: when the young one is full it
+    becomes the old one, and a word asked for again is copied back. New words are encoded in bulk."""
+
+    def __init__(self, bpe: Bpe, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], size: int = REMEMBERED) -> None:
+        self.bpe, self.encode, self.size = bpe, encode, size
+        self._start()
+        self._rotate()
+
+    def _start(self) -> None:
+        self.young = _Slots()
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+        self.at, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def _rotate(self) -> None:
+        self.old = (self.young, self.flat, self.at, self.n)
+        self._start()
+
+    def _add(self, words: list[str]) -> None:
+        """Ids of the new words, in the order of their slots."""
+        slots, flat, at, n = self.old
+        before = np.array([slots.get(w, -1) for w in words], np.int64)
+        lengths = np.zeros(len(words), np.int64)
+        lengths[before >= 0] = n[before[before >= 0]]
+        fresh = np.flatnonzero(before < 0)
+        ids, sizes = self.encode([words[i] for i in fresh.tolist()]) if len(fresh) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        lengths[fresh] = sizes
+        starts = self.used + np.cumsum(lengths) - lengths
+        total, first = self.used + int(lengths.sum()), len(self.young) - len(words)
+        while total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while len(self.young) > len(self.at):
+            self.at, self.n = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.n))
+        self.flat[ranges(starts[fresh], sizes)] = ids
+        kept = before[before >= 0]
+        self.flat[ranges(starts[before >= 0], n[kept])] = flat[ranges(at[kept], n[kept])]
+        self.at[first : first + len(words)], self.n[first : first + len(words)] = starts, lengths
+        self.used = total
+
+    def look_up(self, lists: list[list[str]]) -> list[np.ndarray]:
+        """The ids of every list of words."""
+        if len(self.young) > self.size or self.used > 16 * self.size:
+            self._rotate()
+        counts = np.array([len(x) for x in lists], np.int64)
+        slots = np.fromiter(map(self.young.__getitem__, itertools.chain.from_iterable(lists)), np.int64, int(counts.sum()))
+        if self.young.new:
+            words, self.young.new = self.young.new, []
+            self._add(words)
+        lengths = self.n[slots]
+        ids = self.flat[ranges(self.at[slots], lengths)]
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        return [ids[a:b] for a, b in itertools.pairwise(ends)]
+
+
+@functools.lru_cache(maxsize=1)
+def _lexicon(path: str) -> Lexicon:
+    """A worker's encoder, kept from task to task."""
+    bpe = Bpe(path)
+    return Lexicon(bpe, bpe.encode_words)
+
+
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes each whole text and decodes its ids.
 
-    A worker remembers the ids and the decoded text of the words it met lately.
+    A worker remembers the ids of the words it met lately.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = Bpe(path)
-        known: dict[str, tuple[int, str, str]] = {}
-
-        def learn(piece: str) -> tuple[int, str, str]:
-            ids = [bpe.special[piece]] if piece in bpe.special else bpe.chunk(piece)
-            decoder = bpe.decoder()
-            text = "".join(map(decoder.feed, ids)) + decoder.finish()
-            out = len(ids), " ".join(map(str, ids)), text
-            if len(piece) <= 64:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                known[piece] = out
-            return out
-
-        gap = "" if bpe.decodes_bytes else " "
+        lexicon = _lexicon(path)
+        bpe = lexicon.bpe
+        decimal = [str(i) for i in range(max(bpe.token) + 1)]
         for b in batches:
-            rows = []
-            for text in b["text"]:
-                found = [known.get(p) or learn(p) for p in bpe.pieces(text)]
-                found = [x for x in found if x[0]]
-                rows.append((
-                    sum(x[0] for x in found),
-                    hashlib.sha256(" ".join([x[1] for x in found]).encode()).hexdigest(),
-                    hashlib.sha256(gap.join([x[2] for x in found]).encode("utf-8")).hexdigest(),
-                ))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).assign(doc_id=b["doc_id"].to_numpy())[["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]]
+            for at in range(0, len(b), TOGETHER):
+                part = b.iloc[at : at + TOGETHER]
+                counts, ids, texts = [], [], []
+                for found in lexicon.look_up([bpe.text_words(t) for t in part["text"]]):
+                    found = found.tolist()
+                    decoder = bpe.decoder()
+                    text = decoder.feed_all(found) + decoder.finish()
+                    counts.append(len(found))
+                    ids.append(hashlib.sha256(" ".join([decimal[i] for i in found]).encode()).hexdigest())
+                    texts.append(hashlib.sha256(text.encode("utf-8")).hexdigest())
+                yield pd.DataFrame({"doc_id": part["doc_id"], "n_tokens": counts, "ids_sha256": ids, "decoded_sha256": texts})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -11,6 +11,7 @@ as often as they occur; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -19,15 +20,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm.bpe import vocabulary_path
+from gaugeline.llm.bpe import TOGETHER, Bpe, Lexicon, vocabulary_path
 from gaugeline.llm.common import read, written
 
 SEQUENCE = 2_048
 END_ID = 1
 #: Pieces in a group on average; bounds a packing task's memory.
 GROUP = 20_000
-#: Pieces of text whose ids a worker remembers.
-REMEMBERED = 150_000
 
 
 class TournamentTree:
@@ -68,60 +67,70 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int = SEQUENCE) -> tuple
     return bins, offsets
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, row): each document's ids cut at the sequence length.
+@functools.lru_cache(maxsize=1)
+def _lexicon(path: str) -> Lexicon:
+    """A worker's memory of words, kept from task to task.
 
-    Text is cut at white space, which the tokenizer drops and no word or special token spans, and
-    each new piece goes through the tokenizers library; the ids of pieces met lately are remembered.
+    New words go to the tokenizers library together, as one text: it drops the spaces between them, and
+    the end-of-word mark of their last tokens tells them apart. Words come normalised and cut by the
+    tokenizer file's own rules, so the library has only to split at spaces and to merge.
     """
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    bpe = Bpe(path)
+    tok = Tokenizer.from_file(path)
+    tok.no_truncation()
+    tok.no_padding()
+    tok.encode_special_tokens = True
+    tok.normalizer = None
+    tok.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    ends = np.zeros(max(bpe.token) + 1, bool)
+    ends[[i for t, i in bpe.ids.items() if t.endswith(bpe.suffix)]] = True
+
+    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, sizes = [], []
+        for at in range(0, len(words), 200):
+            some = words[at : at + 200]
+            if not bpe.special.keys().isdisjoint(some):
+                flat, n = bpe.encode_words(some)
+            else:
+                flat = np.array(tok.encode(" ".join(some), add_special_tokens=False).ids, np.int32)
+                n = np.diff(np.flatnonzero(ends[flat]), prepend=-1)
+                if len(n) != len(some):
+                    raise RuntimeError("the tokenizer does not keep words apart")
+            ids.append(flat)
+            sizes.append(n)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    return Lexicon(bpe, encode)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        tok.no_truncation()
-        tok.no_padding()
-        known: dict[str, bytes] = {}
+def pieces(docs: DataFrame, path: str, capacity: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens, row): each document's ids cut at the sequence length."""
+    end = np.array([end_id], "<u4").tobytes()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon = _lexicon(path)
         row = 0
         for b in batches:
-            out: list[tuple] = []
-            for doc_id, text in zip(b["doc_id"].tolist(), b["text"].tolist(), strict=True):
-                words = _words(text)
-                new = list({w for w in words if w not in known})
-                fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, tok.encode_batch(new, add_special_tokens=False), strict=True)} if new else {}
-                if len(known) + len(fresh) > REMEMBERED:
-                    fresh |= {w: known[w] for w in words if w in known}
-                    known = {}
-                known |= {w: x for w, x in fresh.items() if len(w) <= 64}
-                long = {w: x for w, x in fresh.items() if len(w) > 64}
-                ids = b"".join([known[w] if w in known else long[w] for w in words]) + np.array([end_id], "<u4").tobytes()
-                n = len(ids) // 4
-                for start in range(0, n, capacity):
-                    part = ids[4 * start : 4 * (start + capacity)]
-                    out.append((doc_id, start, len(part) // 4, zlib.crc32(part), n, row))
-                    row += 1
-            frame = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row"])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+            for at in range(0, len(b), TOGETHER):
+                part = b.iloc[at : at + TOGETHER]
+                out: list[tuple] = []
+                for doc_id, got in zip(part["doc_id"].tolist(), lexicon.look_up([lexicon.bpe.text_words(t) for t in part["text"]]), strict=True):
+                    ids = got.astype("<u4").tobytes() + end
+                    n = len(ids) // 4
+                    for start in range(0, n, capacity):
+                        cut = ids[4 * start : 4 * (start + capacity)]
+                        out.append((doc_id, start, len(cut) // 4, zlib.crc32(cut), n, row))
+                        row += 1
+                frame = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row"])
+                frame["doc_id"] = frame["doc_id"].astype("Int64")
+                yield frame
 
     kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row long"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, kinds)
 
 
-def _words(text: str | None) -> list[str]:
-    """Runs between white space."""
-    if not text:
-        return []
-    if _other_blanks(text):
-        return [w.decode("utf-8") for w in text.encode("utf-8").split()]
-    return text.split()
-
-
-def _other_blanks(text: str) -> bool:
-    """Whether Python's split would also cut at U+001C to U+001F, which the tokenizer keeps."""
-    return any(c in text for c in "\x1c\x1d\x1e\x1f")
-
-
 def packed(docs: DataFrame, path: str, capacity: int = SEQUENCE, group: int = GROUP) -> DataFrame:
     """One row per piece with its sequence and offset."""
     cut = written(pieces(docs, path, capacity), "pieces")
