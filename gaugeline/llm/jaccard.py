@@ -3,12 +3,15 @@
 1. Equal sets are one vertex, kept under the smallest document id (a 128-bit key of the sorted set).
 2. Similar sets are partitioned into groups: sets that share one of a few min-hashes are compared with
    that bucket's first set only, and the links found join into groups.
-3. The matrix holds, for each token of a set's prefix, the groups that have it: a pair at the threshold
-   shares at least ``ROOM`` tokens (or as many as its overlap) of the prefixes, the tokens being ordered
+3. The matrix holds, for each token of a set's prefix, the groups that have it, the tokens being ordered
    from rare to frequent by one order for all. The tokens of one group alone drop out, so copies, however
-   many, are one entry. Shared entries bound the overlap of a query set with a group; size bounds and
-   that count leave the groups that qualify.
-4. A qualifying group is opened in two steps: its first set, then, if query and group are still apart,
+   many, are one entry. While many groups share a token, each set is first compared with a few sets that
+   lead its tokens, which joins the groups of one large family without looking at all its pairs. Sets whose
+   shared tokens are too few for a link with any size of set leave the matrix. Then the
+   shared entries bound the overlap of a query set with a group: two sets overlap in the tokens their
+   prefixes share and, at most, in all that lies behind the shorter-reaching prefix. Groups whose bound
+   is below the overlap that the sizes ask for are left closed.
+4. A qualifying group is opened in two steps: its middle set, then, if query and group are still apart,
    every member of a fitting size. Each pair is verified on the whole sets; the links' components are
    the result. No link between different groups is lost, whatever the order of tokens.
 
@@ -29,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugeline.llm.common import read, small_side, written
@@ -37,8 +41,13 @@ from gaugeline.llm.components import connected_components
 WORDS = 5
 PERCENT = 80
 MIN_HASHES = 4
-#: Prefix tokens that a pair has to share beyond the first.
+#: Tokens that a prefix holds beyond those that can all differ.
 ROOM = 3
+#: Sets that lead a set's tokens and are compared with it in a turn, turns, and how many times its own
+#: size a join of the matrix with itself may have before turns are taken.
+LEADERS = 4
+TURNS = 2
+WIDE = 8
 HOT_TOKENS = 500_000
 LOCAL = 3
 #: Tokens that are counted together in a task, and rows of a matrix partition on average.
@@ -224,12 +233,69 @@ def _fits(a: str, b: str, percent: int):
     return F.expr(f"100 * {a} >= {percent} * {b} AND 100 * {b} >= {percent} * {a}")
 
 
+def _needed(n: str, m: str, percent: int) -> str:
+    """SQL for the prefix tokens that sets of n and m share at least if they reach the threshold: the
+    overlap that it takes, less what can lie behind the prefixes."""
+    behind = [f"greatest(0, ({percent} * {x} + 99) div 100 - {ROOM})" for x in (n, m)]
+    return f"greatest(1, ({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent} - greatest({', '.join(behind)}))"
+
+
 def _labelled(reps: DataFrame, links: DataFrame) -> DataFrame:
     """``reps`` with ``g``, the smallest sid of the group that the links make."""
     groups = connected_components(links)
     return written(reps.join(groups.withColumnRenamed("id", "sid"), "sid", "left").withColumn("g", F.coalesce("component", "sid")).drop("component"), "groups")
 
 
+def _across(shared: DataFrame, grouped: DataFrame) -> tuple[DataFrame, int, int]:
+    """The matrix rows with their groups, of tokens that two groups have; how many rows there are, and how
+    many a join of each token's rows with its groups would give."""
+    rows = shared.join(grouped.select("sid", "g"), "sid")
+    tokens = rows.groupBy("token").agg(F.count(F.lit(1)).alias("r"), F.countDistinct("g").alias("c")).where("c > 1")
+    tokens = written(tokens, "tokens")
+    size = tokens.agg(F.sum("r").alias("r"), F.sum(F.col("r") * F.col("c")).alias("j")).first()
+    return written(rows.join(tokens.select("token", "r"), "token"), "matrix"), size["r"] or 0, size["j"] or 0
+
+
+def _led(matrix: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each set with the few sets of other groups that lead most of its tokens.
+
+    A token's leader among the sets of a size class is the set whose prefix tokens the most sets have on average: it has the fewest tokens
+    of its own, so of a family it lies nearest to the middle.
+    """
+    whole = F.expr(f"greatest(1, n - ({percent} * n + 99) div 100 + {ROOM})")
+    share = matrix.groupBy("sid", "n").agg((F.sum("r") / whole).alias("s")).select("sid", "s")
+    first = F.max_by(F.struct(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("g").alias("gb")), F.struct("s", F.xxhash64("sid")))
+    classed = matrix.withColumn("k", F.expr(_class("n")))
+    leaders = written(classed.join(share, "sid").groupBy("token", "k").agg(first.alias("l")).select("token", "k", "l.*"), "leaders")
+    met = classed.join(leaders, ["token", "k"]).where("g <> gb").where(_fits("n", "nb", percent))
+    most = F.row_number().over(W.partitionBy("sid").orderBy(F.desc("c"), "b"))
+    return met.groupBy("sid", "b").agg(F.count(F.lit(1)).alias("c")).withColumn("r", most).where(F.col("r") <= LEADERS).select(F.col("sid").alias("a"), "b")
+
+
+def _class(n: str) -> str:
+    """SQL for the class of a set's size; a class spans four hundredths."""
+    return f"cast(floor(ln({n}) / ln(1.04D)) as int)"
+
+
+def _alive(matrix: DataFrame, percent: int) -> DataFrame:
+    """The matrix rows of sets that can still link: (token, sid, n, g, k, ks) with the set's size class k
+    and the classes ks with which it shares as many tokens as a link of such sizes needs.
+
+    A token counts for a class if a set of another group and of that class has it.
+    """
+    rows = matrix.withColumn("k", F.expr(_class("n")))
+    held = rows.groupBy("token", "k").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).groupBy("token").agg(F.collect_list(F.struct("k", "g0", "g1")).alias("held"))
+    seen = rows.join(held, "token")
+    others = F.transform(F.filter("held", lambda h: (F.abs(h["k"] - F.col("k")) <= 7) & ((h["g0"] != F.col("g")) | (h["g1"] != F.col("g")))), lambda h: h["k"])
+    met = seen.select("sid", "n", F.explode(others).alias("o")).groupBy("sid", "n", "o").agg(F.count(F.lit(1)).alias("c"))
+    low, high = "cast(floor(pow(1.04D, o)) as bigint)", "cast(ceil(pow(1.04D, o + 1)) as bigint)"
+    low, high = f"greatest({low}, ({percent} * n + 99) div 100)", f"least({high}, 100 * n div {percent})"
+    # the need is least at an end of the class; one less makes up for rounding in between
+    need = F.expr(f"least({_needed('n', low, percent)}, {_needed('n', high, percent)}) - 1")
+    fine = met.where(f"{low} <= {high}").where(F.col("c") >= need).groupBy("sid").agg(F.collect_list("o").alias("ks"))
+    return written(rows.join(fine, "sid"), "alive")
+
+
 def similar_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
     spark = docs.sparkSession
@@ -255,24 +321,37 @@ def similar_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> D
     tokens, counts = top["token"].to_numpy(np.int64).view(_U), top["c"].to_numpy(np.int64)
     order = np.argsort(tokens)
     shared = written(_shared(_matrix_rows(docs.where("doc_id IS NOT NULL"), (tokens[order], counts[order]), k, percent), max(spark.sparkContext.defaultParallelism, int(total // PART_ROWS) + 1)), "shared")
-    matrix = shared.join(grouped.select("sid", "g"), "sid")
-    across = matrix.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("token")
-    matrix = written(matrix.join(across, "token"), "matrix")
-    ranges = grouped.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    columns = matrix.groupBy("token", "g").agg(F.lit(1).alias("one")).select("token", F.col("g").alias("h")).join(ranges.withColumnRenamed("g", "h"), "h")
-    fits = F.expr(f"100 * most >= {percent} * n AND {percent} * least <= 100 * n")
-    met = matrix.join(columns, "token").where(F.col("g") != F.col("h")).where(fits)
-    need = F.expr(f"least({ROOM}, ({percent} * n + 99) div 100)")
-    opened = written(met.groupBy("sid", "n", "g", "h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= need), "opened")
-
-    # 4. a qualifying group's first set, then its other members
-    more = _verified(docs, small, opened.select(F.col("sid").alias("a"), F.col("h").alias("b")), k, percent)
+    matrix, rows, joined = _across(shared, grouped)
+    for _ in range(TURNS):
+        if joined <= WIDE * max(rows, 1):
+            break
+        more = _verified(docs, small, _led(matrix, percent), k, percent)
+        links = written(links.unionByName(more), "links-so-far")
+        grouped = _labelled(small, links)
+        matrix, rows, joined = _across(shared, grouped)
+    matrix = _alive(matrix, percent)
+    ranges = grouped.groupBy("g").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("least"), F.max("n").alias("most"))
+    matrix = matrix.join(ranges.select("g", "members"), "g")
+    # the set whose tokens the most sets have stands for its group at first
+    sizes = matrix.groupBy("g", "sid", "n", "k").agg((F.sum("r") / F.expr(f"greatest(1, n - ({percent} * n + 99) div 100 + {ROOM})")).alias("s"))
+    middle = F.max_by("sid", F.struct("s", "sid"))
+    middles = sizes.groupBy(F.col("g").alias("h")).agg(middle.alias("any"))
+    alike = sizes.groupBy(F.col("g").alias("h"), "k").agg(middle.alias("alike"))
+    columns = matrix.groupBy("token", "g").agg(F.collect_set("k").alias("kh"), F.first("members").alias("size")).withColumnRenamed("g", "h")
+    columns = columns.join(ranges.select(F.col("g").alias("h"), "least", "most"), "h")
+    low, high = f"greatest(least, ({percent} * n + 99) div 100)", f"least(most, 100 * n div {percent})"
+    # of two groups the smaller one asks: each of its sets meets the larger group's tokens
+    met = matrix.join(columns, "token").where("members < size OR members = size AND g < h").where(f"{low} <= {high}").where(F.arrays_overlap("ks", "kh"))
+    need = F.expr(f"greatest(1, least({_needed('n', low, percent)}, {_needed('n', high, percent)}) - 1)")
+    opened = written(met.groupBy("sid", "n", "k", "g", "h", "least", "most").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= need).join(middles, "h").join(alike, ["h", "k"], "left").select("sid", "n", "h", F.coalesce("alike", "any").alias("middle")), "opened")
+
+    # 4. a qualifying group's middle, then its other members
+    more = _verified(docs, small, opened.select(F.col("sid").alias("a"), F.col("middle").alias("b")), k, percent)
     links = written(links.unionByName(more), "links-so-far")
-    grouped2 = _labelled(small, links)
-    now = grouped2.select("sid", F.col("g").alias("q"))
+    now = _labelled(small, links).select("sid", F.col("g").alias("q"))
     apart = opened.join(now, "sid").join(now.select(F.col("sid").alias("h"), F.col("q").alias("r")), "h").where("q <> r")
-    members = grouped.select(F.col("sid").alias("b"), F.col("g").alias("h"), F.col("n").alias("nb")).where("b <> h")
-    rest = apart.select("h", F.col("sid").alias("a"), "n").join(members, "h").where(_fits("n", "nb", percent)).select("a", "b")
+    members = grouped.select(F.col("sid").alias("b"), F.col("g").alias("h"), F.col("n").alias("nb"))
+    rest = apart.select("h", F.col("sid").alias("a"), "n", "middle").join(members, "h").where("b <> middle").where(_fits("n", "nb", percent)).select("a", "b")
     last = _verified(docs, small, rest, k, percent)
     final = _labelled(small, links.unionByName(last))
 
