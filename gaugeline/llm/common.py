@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of two longs that are shipped to every executor at most (32 MB); larger sides are shuffled.
 BROADCAST_ROWS = 2_000_000
@@ -41,7 +42,9 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    # the schema is given, so an empty table reads as one; partition columns come last
+    fields = [f for f in df.schema if f.name not in partition_by] + [df.schema[p] for p in partition_by]
+    return spark.read.schema(StructType(fields)).parquet(path)
 
 
 def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

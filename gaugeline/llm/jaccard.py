@@ -51,7 +51,9 @@ WIDE = 8
 HOT_TOKENS = 500_000
 LOCAL = 3
 #: Tokens that are counted together in a task, and rows of a matrix partition on average.
-BLOCK = 4_000_000
+BLOCK = 1_000_000
+#: Documents that a task cuts up together.
+TOGETHER = 1_000
 PART_ROWS = 1_500_000
 
 _U = np.uint64
@@ -80,6 +82,13 @@ def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
     return np.unique(s)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in small pieces, which bounds what a task holds as Python objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, TOGETHER):
+            yield b.slice(at, TOGETHER)
+
+
 def set_key(s: np.ndarray) -> tuple[int, int]:
     """128 bits of a sorted set, as two signed longs."""
     d = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
@@ -116,7 +125,7 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
             z = pa.nulls(len(t), pa.int64())
             return pa.record_batch([pa.array(np.ones(len(t), np.int32)), pa.array(t), pa.array(c.astype(np.int64)), z, z, pa.nulls(len(t), pa.list_(pa.int64()))], names=["kind", "id", "n", "hi", "lo", "mh"])
 
-        for b in batches:
+        for b in _slices(batches):
             ids, ns, his, los, mhs = [], [], [], [], []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = shingles(text, k)
@@ -150,7 +159,7 @@ def _matrix_rows(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], k: int, pe
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = sent.value
         met: set[int] = set()
-        for b in batches:
+        for b in _slices(batches):
             out_t, out_s, out_n = [], [], []
             for text in b.column(0).to_pylist():
                 s = shingles(text, k)
@@ -206,7 +215,7 @@ def _whole_sets(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int) -> D
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small_side(needed, needed.count()), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             sids, sets = [], []
             for need, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = shingles(text, k)

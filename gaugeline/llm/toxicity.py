@@ -2,7 +2,7 @@
 
 Examples are at most ``MAX_EXAMPLES`` labelled documents of each class (those with the smallest id
 hash). The vocabulary holds the words and word beginnings whose share of documents differs between the classes
-beyond ``MIN_CHI2``; a document counts only where it brings a new context (the neighbouring words),
+by more chi-square than the best of as many chance terms would show; a document counts only where it brings a new context (the neighbouring words),
 which keeps copies of one text from passing for evidence. Document frequencies are counted over all documents.
 
 The index cuts the examples into blocks and keeps, for each word, every block's largest weight. A
@@ -33,8 +33,7 @@ from gaugeline.llm.quality import sample_ids
 MAX_EXAMPLES = 2_500
 #: Bound of the vocabulary; words beyond it are those with the weakest association.
 MAX_WORDS = 4_096
-MIN_CHI2 = 40.0
-MIN_DOCS = 5
+MIN_DOCS = 4
 #: Lengths in bytes of the word beginnings that are terms too (compounds share a beginning).
 PREFIXES = (5, 6, 7, 8, 9)
 #: Words whose terms a worker remembers.
@@ -72,8 +71,9 @@ def select_terms(texts: list[str], y: np.ndarray) -> list[bytes]:
     plain: tuple[Counter, Counter] = (Counter(), Counter())
     for text, label in zip(texts, y, strict=True):
         plain[int(label)].update({t for w in set(words_of(text)) for t in terms_of(w)})
-    strong = {t for t, a in plain[1].items() if a + plain[0][t] >= MIN_DOCS and _chi2(a, a + plain[0][t], share) >= MIN_CHI2}
-    strong |= {t for t, b in plain[0].items() if b >= MIN_DOCS and t not in plain[1] and _chi2(0, b, share) >= MIN_CHI2}
+    least = 2 * np.log(max(2, len(plain[0].keys() | plain[1].keys()))) + 2
+    strong = {t for t, a in plain[1].items() if a + plain[0][t] >= MIN_DOCS and _chi2(a, a + plain[0][t], share) >= least}
+    strong |= {t for t, b in plain[0].items() if b >= MIN_DOCS and t not in plain[1] and _chi2(0, b, share) >= least}
     seen: tuple[dict, dict] = (defaultdict(set), defaultdict(set))
     support: tuple[Counter, Counter] = (Counter(), Counter())
     for text, label in zip(texts, y, strict=True):
@@ -88,7 +88,7 @@ def select_terms(texts: list[str], y: np.ndarray) -> list[bytes]:
     found = []
     for t in strong:
         a, n = support[1][t], support[0][t] + support[1][t]
-        if n >= MIN_DOCS and (chi2 := _chi2(a, n, share)) >= MIN_CHI2:
+        if n >= MIN_DOCS and (chi2 := _chi2(a, n, share)) >= least:
             found.append((-chi2, t))
     return [t for _, t in sorted(found)[:MAX_WORDS]]
 
