@@ -76,7 +76,7 @@ def signed(raw: Column, size: int) -> Column:
     """Two's complement of a raw field of ``size`` bits, as a long."""
     if size >= 64:
         big = raw.cast("decimal(20,0)")
-        return F.when(big >= F.lit(2**63).cast("decimal(20,0)"), big - F.lit(18446744073709551616).cast("decimal(20,0)")).otherwise(big).cast("bigint")
+        return F.when(big >= F.lit("9223372036854775808").cast("decimal(20,0)"), big - F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(big).cast("bigint")
     n = raw.cast("bigint")
     return F.shiftright(F.shiftleft(n, 64 - size), 64 - size)
 
