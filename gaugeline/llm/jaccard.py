@@ -43,6 +43,8 @@ PERCENT = 80
 MIN_HASHES = 4
 #: Tokens that a prefix holds beyond those that can all differ.
 ROOM = 3
+#: Members of a group that are read together on average.
+MEMBERS = 256
 #: Sets that lead a set's tokens and are compared with it in a turn, turns, and how many times its own
 #: size a join of the matrix with itself may have before turns are taken.
 LEADERS = 4
@@ -210,7 +212,7 @@ def _shared(rows: DataFrame, parts: int) -> DataFrame:
 
 def _whole_sets(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """(sid, s) for the sets in (a, b) pairs: only their documents' texts are cut up again."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(reps.select("sid", "rep"), "sid")
+    needed = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(reps.select("sid", "rep"), "sid")
     needed = written(needed.select(F.col("sid").alias("need"), F.col("rep").alias("doc_id")), "needed")
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small_side(needed, needed.count()), "doc_id")
 
@@ -305,6 +307,23 @@ def _alive(matrix: DataFrame, percent: int) -> DataFrame:
     return written(rows.join(fine, "sid"), "alive")
 
 
+def _within(apart: DataFrame, grouped: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the queries with those members of their groups with which they share as many prefix tokens as
+    a link needs. Members lie in blocks of about ``MEMBERS`` with their prefixes; a query reads block by
+    block, and only members that it may link with leave a block."""
+    opened = apart.select("h").distinct()
+    members = grouped.select(F.col("sid").alias("b"), F.col("g").alias("h"), F.col("n").alias("nb")).join(opened, "h")
+    wanted = members.select(F.col("b").alias("sid")).union(apart.select("a")).distinct()
+    prefixes = written(shared.join(wanted, "sid").groupBy("sid").agg(F.collect_set("token").alias("pre")), "prefixes")
+    sizes = members.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("blocks"))
+    held = members.join(prefixes.withColumnRenamed("sid", "b"), "b").join(sizes, "h")
+    blocks = held.groupBy("h", F.pmod(F.xxhash64("b"), "blocks").alias("block")).agg(F.collect_list(F.struct("b", "nb", "pre")).alias("ms"))
+    asks = apart.join(prefixes.withColumnRenamed("sid", "a"), "a")
+    fits = f"100 * n >= {percent} * m.nb AND 100 * m.nb >= {percent} * n"
+    near = F.expr(f"transform(filter(ms, m -> m.b <> middle AND {fits} AND size(array_intersect(pre, m.pre)) >= {_needed('n', 'm.nb', percent)}), m -> m.b)")
+    return asks.join(blocks, "h").select("a", F.explode(near).alias("b"))
+
+
 def similar_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
     spark = docs.sparkSession
@@ -359,8 +378,7 @@ def similar_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> D
     links = written(links.unionByName(more), "links-so-far")
     now = _labelled(small, links).select("sid", F.col("g").alias("q"))
     apart = opened.join(now, "sid").join(now.select(F.col("sid").alias("h"), F.col("q").alias("r")), "h").where("q <> r")
-    members = grouped.select(F.col("sid").alias("b"), F.col("g").alias("h"), F.col("n").alias("nb"))
-    rest = apart.select("h", F.col("sid").alias("a"), "n", "middle").join(members, "h").where("b <> middle").where(_fits("n", "nb", percent)).select("a", "b")
+    rest = _within(written(apart.select("h", F.col("sid").alias("a"), "n", "middle"), "apart"), grouped, shared, percent)
     last = _verified(docs, small, rest, k, percent)
     final = _labelled(small, links.unionByName(last))
 
