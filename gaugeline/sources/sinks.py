@@ -173,3 +173,17 @@ def _scrambled_xml(text: str, seed: int) -> str:
             out.append(scrambled_text(text[at:end], seed))
         at = end
     return "".join(out)
+
+
+def mat5(variables: dict[str, np.ndarray | Sequence[float]]) -> bytes:
+    """A MATLAB level 5 file of double column vectors."""
+
+    def element(kind: int, body: bytes) -> bytes:
+        return struct.pack("<II", kind, len(body)) + body + b"\0" * (-len(body) % 8)
+
+    out = b"MATLAB 5.0 MAT-file".ljust(124) + struct.pack("<HH", 0x0100, 0x4D49)
+    for name, v in variables.items():
+        x = np.asarray(v, "<f8").reshape(-1)
+        body = element(6, struct.pack("<II", 6, 0)) + element(5, struct.pack("<ii", len(x), 1)) + element(1, name.encode("ascii", "replace")) + element(9, x.tobytes())
+        out += element(14, body)
+    return out
