@@ -152,7 +152,7 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _matrix_rows(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], k: int, percent: int) -> DataFrame:
-    """(token, sid, n): the prefix of each distinct set, its tokens from rare to frequent.
+    """(token, sid, n, pos): the prefix of each distinct set, its tokens from rare to frequent by place.
 
     ``sid`` is half of the set's key. A task sends a set once.
     """
@@ -162,7 +162,7 @@ def _matrix_rows(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], k: int, pe
         tokens, counts = sent.value
         met: set[int] = set()
         for b in _slices(batches):
-            out_t, out_s, out_n = [], [], []
+            out_t, out_s, out_n, out_p = [], [], [], []
             for text in b.column(0).to_pylist():
                 s = shingles(text, k)
                 if not len(s):
@@ -179,10 +179,11 @@ def _matrix_rows(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], k: int, pe
                 out_t.append(s[:p])
                 out_s.append(np.full(p, sid, np.int64))
                 out_n.append(np.full(p, len(s), np.int64))
+                out_p.append(np.arange(p, dtype=np.int32))
             if out_t:
-                yield pa.record_batch([pa.array(np.concatenate(out_t).view(np.int64)), pa.array(np.concatenate(out_s)), pa.array(np.concatenate(out_n))], names=["token", "sid", "n"])
+                yield pa.record_batch([pa.array(np.concatenate(out_t).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (out_s, out_n, out_p))], names=["token", "sid", "n", "pos"])
 
-    return docs.select("text").mapInArrow(run, "token long, sid long, n long")
+    return docs.select("text").mapInArrow(run, "token long, sid long, n long, pos int")
 
 
 def _shared(rows: DataFrame, parts: int) -> DataFrame:
@@ -192,22 +193,22 @@ def _shared(rows: DataFrame, parts: int) -> DataFrame:
         got = [tuple(c.to_numpy() for c in b.columns) for b in batches if b.num_rows]
         if not got:
             return
-        t, s, n = (np.concatenate(c) for c in zip(*got, strict=True))
+        t, s, n, p = (np.concatenate(c) for c in zip(*got, strict=True))
         order = np.lexsort((s, t))
-        t, s, n = t[order], s[order], n[order]
+        t, s, n, p = t[order], s[order], n[order], p[order]
         same_t = t[1:] == t[:-1]
         keep = np.ones(len(t), bool)
         keep[1:] = ~(same_t & (s[1:] == s[:-1]))  # a set that several tasks sent
-        t, s, n = t[keep], s[keep], n[keep]
+        t, s, n, p = t[keep], s[keep], n[keep], p[keep]
         same_t = t[1:] == t[:-1]
         multi = np.zeros(len(t), bool)
         multi[1:] |= same_t
         multi[:-1] |= same_t
-        for at in range(0, int(multi.sum()), 100_000):
-            cut = slice(at, at + 100_000)
-            yield pa.record_batch([pa.array(t[multi][cut]), pa.array(s[multi][cut]), pa.array(n[multi][cut])], names=["token", "sid", "n"])
+        t, s, n, p = t[multi], s[multi], n[multi], p[multi]
+        for at in range(0, len(t), 100_000):
+            yield pa.record_batch([pa.array(x[at : at + 100_000]) for x in (t, s, n, p)], names=["token", "sid", "n", "pos"])
 
-    return rows.repartition(parts, "token").mapInArrow(run, "token long, sid long, n long")
+    return rows.repartition(parts, "token").mapInArrow(run, "token long, sid long, n long, pos int")
 
 
 def _whole_sets(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
@@ -289,8 +290,8 @@ def _class(n: str) -> str:
 
 
 def _alive(matrix: DataFrame, percent: int) -> DataFrame:
-    """The matrix rows of sets that can still link: (token, sid, n, g, k, ks) with the set's size class k
-    and the classes ks with which it shares as many tokens as a link of such sizes needs.
+    """The matrix rows of sets that can still link: (token, sid, n, g, k, ks, need) with the set's size class
+    k, the classes ks with which it shares as many tokens as a link of such sizes needs, and the least need.
 
     A token counts for a class if a set of another group and of that class has it.
     """
@@ -303,18 +304,23 @@ def _alive(matrix: DataFrame, percent: int) -> DataFrame:
     low, high = f"greatest({low}, ({percent} * n + 99) div 100)", f"least({high}, 100 * n div {percent})"
     # the need is least at an end of the class; one less makes up for rounding in between
     need = F.expr(f"least({_needed('n', low, percent)}, {_needed('n', high, percent)}) - 1")
-    fine = met.where(f"{low} <= {high}").where(F.col("c") >= need).groupBy("sid").agg(F.collect_list("o").alias("ks"))
+    fine = met.where(f"{low} <= {high}").withColumn("need", need).where("c >= need").groupBy("sid").agg(F.collect_list("o").alias("ks"), F.greatest(F.lit(1), F.min("need")).alias("need"))
     return written(rows.join(fine, "sid"), "alive")
 
 
+def _prefixes(shared: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sid, pre): the prefix tokens that other sets have too, of the wanted sets."""
+    wanted = wanted.toDF("sid").distinct()
+    return written(shared.join(wanted, "sid").groupBy("sid").agg(F.collect_set("token").alias("pre")), "prefixes")
+
+
 def _within(apart: DataFrame, grouped: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     """(a, b): the queries with those members of their groups with which they share as many prefix tokens as
     a link needs. Members lie in blocks of about ``MEMBERS`` with their prefixes; a query reads block by
     block, and only members that it may link with leave a block."""
     opened = apart.select("h").distinct()
     members = grouped.select(F.col("sid").alias("b"), F.col("g").alias("h"), F.col("n").alias("nb")).join(opened, "h")
-    wanted = members.select(F.col("b").alias("sid")).union(apart.select("a")).distinct()
-    prefixes = written(shared.join(wanted, "sid").groupBy("sid").agg(F.collect_set("token").alias("pre")), "prefixes")
+    prefixes = _prefixes(shared, members.select("b").union(apart.select("a")))
     sizes = members.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("blocks"))
     held = members.join(prefixes.withColumnRenamed("sid", "b"), "b").join(sizes, "h")
     blocks = held.groupBy("h", F.pmod(F.xxhash64("b"), "blocks").alias("block")).agg(F.collect_list(F.struct("b", "nb", "pre")).alias("ms"))
@@ -368,17 +374,23 @@ def similar_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> D
     columns = matrix.groupBy("token", "g").agg(F.collect_set("k").alias("kh"), F.first("members").alias("size")).withColumnRenamed("g", "h")
     columns = columns.join(ranges.select(F.col("g").alias("h"), "least", "most"), "h")
     low, high = f"greatest(least, ({percent} * n + 99) div 100)", f"least(most, 100 * n div {percent})"
-    # of two groups the smaller one asks: each of its sets meets the larger group's tokens
-    met = matrix.join(columns, "token").where("members < size OR members = size AND g < h").where(f"{low} <= {high}").where(F.arrays_overlap("ks", "kh"))
-    need = F.expr(f"greatest(1, least({_needed('n', low, percent)}, {_needed('n', high, percent)}) - 1)")
-    opened = written(met.groupBy("sid", "n", "k", "g", "h", "least", "most").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= need).join(middles, "h").join(alike, ["h", "k"], "left").select("sid", "n", "h", F.coalesce("alike", "any").alias("middle")), "opened")
+    # Of two groups the smaller one asks: each of its sets meets the larger group's tokens. As ``need`` of its
+    # prefix tokens are shared, one of them is among all but the last need - 1.
+    asking = matrix.where(f"pos <= least(n, n - ({percent} * n + 99) div 100 + {ROOM}) - need")
+    met = asking.join(columns, "token").where("members < size OR members = size AND g < h").where(f"{low} <= {high}").where(F.arrays_overlap("ks", "kh"))
+    opened = met.select("sid", "n", "k", "h").distinct().join(middles, "h").join(alike, ["h", "k"], "left")
+    opened = written(opened.select(F.col("sid").alias("a"), "n", "h", F.coalesce("alike", "any").alias("middle")), "opened")
 
     # 4. a qualifying group's middle, then its other members
-    more = _verified(docs, small, opened.select(F.col("sid").alias("a"), F.col("middle").alias("b")), k, percent)
+    prefixes = _prefixes(shared, opened.select("a").union(opened.select("middle")))
+    sides = opened.join(prefixes.withColumnsRenamed({"sid": "a", "pre": "pa"}), "a").join(prefixes.withColumnsRenamed({"sid": "middle", "pre": "pm"}), "middle")
+    sides = sides.join(small.select(F.col("sid").alias("middle"), F.col("n").alias("m")), "middle").where(_fits("n", "m", percent))
+    likely = sides.where(f"size(array_intersect(pa, pm)) >= {_needed('n', 'm', percent)}").select("a", F.col("middle").alias("b"))
+    more = _verified(docs, small, likely, k, percent)
     links = written(links.unionByName(more), "links-so-far")
     now = _labelled(small, links).select("sid", F.col("g").alias("q"))
-    apart = opened.join(now, "sid").join(now.select(F.col("sid").alias("h"), F.col("q").alias("r")), "h").where("q <> r")
-    rest = _within(written(apart.select("h", F.col("sid").alias("a"), "n", "middle"), "apart"), grouped, shared, percent)
+    apart = opened.join(now.withColumnRenamed("sid", "a"), "a").join(now.select(F.col("sid").alias("h"), F.col("q").alias("r")), "h").where("q <> r")
+    rest = _within(written(apart.select("h", "a", "n", "middle"), "apart"), grouped, shared, percent)
     last = _verified(docs, small, rest, k, percent)
     final = _labelled(small, links.unionByName(last))
 
