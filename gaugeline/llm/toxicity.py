@@ -1,25 +1,29 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
 Examples are at most ``MAX_EXAMPLES`` labelled documents of each class (those with the smallest id
-hash). The vocabulary holds the words and word beginnings whose share of documents differs between the classes
-by more chi-square than the best of as many chance terms would show; a document counts only where it brings a new context (the neighbouring words),
-which keeps copies of one text from passing for evidence. Document frequencies are counted over all documents.
-
-The index cuts the examples into blocks and keeps, for each word, every block's largest weight. A
-query's sum of those is a bound on its cosine with anything in the block; blocks are opened in the
-order of their bounds until the k-th cosine found exceeds the next bound, so the k nearest are exact,
-equal cosines going to the smaller example id. Votes are weighted by closeness, and isotonic
+hash). Every word of the examples is a term. Words and word beginnings whose share of documents differs
+between the classes by more chi-square than the best of as many chance terms would show are telling: they
+weigh ``TELLING`` times as much, and telling beginnings are terms too. A document counts for that only where
+it brings a new context (the neighbouring words), which keeps copies of one text from passing for evidence.
+Document frequencies are counted over all documents.
+
+The index cuts the examples into blocks and keeps, for each term, every block's largest weight. A
+query's sum of those is a bound on its cosine with anything in the block; the blocks with the largest
+bounds are opened first, then each one whose bound reaches the k-th cosine found, so the k nearest are
+exact, equal cosines going to the smaller example id. Votes are weighted by closeness, and isotonic
 regression over the examples' own leave-one-out votes turns them into calibrated scores.
 
-Defined cases: null text scores as the empty text; a text without any word of the vocabulary gets the
-share of toxic ones among such examples; conflicting or null labels do not train; repeated rows each
-get a row; without both labels every score is the share of label 1 (0.5 without labels).
+Defined cases: null text scores as the empty text; a text without any word of any example gets the
+share of toxic ones among such examples; words that no example holds have no part in a cosine;
+conflicting or null labels do not train; repeated rows each get a row; without both labels every score
+is the share of label 1 (0.5 without labels).
 """
 
 from __future__ import annotations
 
-from collections import Counter, OrderedDict, defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,15 +35,17 @@ from gaugeline.llm.quality import sample_ids
 
 #: Bound of the examples of each class, whatever the size of the labels table.
 MAX_EXAMPLES = 2_500
-#: Bound of the vocabulary; words beyond it are those with the weakest association.
-MAX_WORDS = 4_096
+#: How many times a telling term weighs what its frequency gives it.
+TELLING = 10.0
 MIN_DOCS = 4
 #: Lengths in bytes of the word beginnings that are terms too (compounds share a beginning).
 PREFIXES = (5, 6, 7, 8, 9)
-#: Words whose terms a worker remembers.
-REMEMBERED = 200_000
 NEIGHBOURS = 15
 BLOCK = 64
+#: Terms that this share of the examples hold are stored as rows, the others as postings.
+ROW_SHARE = 1 / 20
+#: Texts searched together.
+TOGETHER = 256
 THRESHOLD = 0.5
 _EPS = 0.05
 
@@ -90,91 +96,149 @@ def select_terms(texts: list[str], y: np.ndarray) -> list[bytes]:
         a, n = support[1][t], support[0][t] + support[1][t]
         if n >= MIN_DOCS and (chi2 := _chi2(a, n, share)) >= least:
             found.append((-chi2, t))
-    return [t for _, t in sorted(found)[:MAX_WORDS]]
+    return [t for _, t in sorted(found)]
+
+
+def all_terms(texts: list[str], telling: list[bytes]) -> list[bytes]:
+    """The telling terms, then every other word of the texts, those in most texts first."""
+    held = Counter(w for text in texts for w in set(words_of(text)))
+    known = set(telling)
+    return [*telling, *sorted((w for w in held if w not in known), key=lambda w: (-held[w], w))]
 
 
 class Vocabulary:
-    """Numbers of the terms in a text; what a word gives is remembered for the words met lately."""
+    """Numbers of the terms in a text, telling terms first."""
 
-    def __init__(self, terms: list[bytes]) -> None:
+    def __init__(self, terms: list[bytes], telling: int = 0) -> None:
         self.number = {t: i for i, t in enumerate(terms)}
-        self._of: dict[bytes, tuple[int, ...]] = {}
+        self.telling = telling
+        # most words share no head with a telling beginning, so their beginnings need not be made
+        self.heads = {t[: PREFIXES[0]] for t in terms[:telling] if t.endswith(b"*")}
 
     def __len__(self) -> int:
         return len(self.number)
 
-    def __getstate__(self) -> dict:
-        return {"number": self.number, "_of": {}}
-
     def counts(self, words: list[bytes]) -> tuple[tuple[int, int], ...]:
-        """((term number, count), ...) by number."""
-        of, out = self._of, None
-        for w in set(words):
-            ts = of.get(w)
-            if ts is None:
-                if len(of) > REMEMBERED:
-                    of.clear()
-                ts = of[w] = tuple(self.number[t] for t in terms_of(w) if t in self.number)
-            if ts:
-                out = Counter() if out is None else out
-                n = words.count(w)
-                for t in ts:
-                    out[t] += n
-        return tuple(sorted(out.items())) if out else ()
+        """((term number, count), ...) of the terms in a text."""
+        number, held = self.number, Counter(words)
+        out = {t: n for t, n in zip(map(number.get, held), held.values(), strict=True) if t is not None}
+        head, heads = PREFIXES[0], self.heads
+        for w in [w for w in held if w[:head] in heads]:
+            for b in terms_of(w)[1:]:
+                if (t := number.get(b)) is not None:
+                    out[t] = out.get(t, 0) + held[w]
+        return tuple(out.items())
+
+
+def _spread(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, ... of each of the ranges, one range after the other."""
+    return np.repeat(first - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
 
 
 class BlockMaxIndex:
-    """Unit TF-IDF vectors of the examples in blocks, each with postings and its largest weights."""
+    """Unit TF-IDF vectors of the examples in blocks, each with its terms' largest weights.
+
+    ``idf`` may hold more than the frequencies give: it is the weight of a term that occurs once.
+    """
 
     def __init__(self, idf: np.ndarray, counts: list[tuple], ids: list[int], y: np.ndarray, weight: np.ndarray, block: int = BLOCK) -> None:
-        self.idf = idf
+        self.idf = np.asarray(idf, float)
         keep = [i for i, c in enumerate(counts) if c]
         # alike vectors share blocks, which makes the bounds tight
-        keep.sort(key=lambda i: (tuple(w for w, _ in counts[i]), ids[i]))
+        keep.sort(key=lambda i: (sorted(w for w, _ in counts[i]), ids[i]))
         self.ids = np.array([ids[i] for i in keep], np.int64)
         self.y = np.asarray(y, float)[keep]
         self.weight = np.asarray(weight, float)[keep]
         self.counts = [counts[i] for i in keep]
-        self.blocks = -(-len(keep) // block)
-        self.largest = np.zeros((len(idf), max(1, self.blocks)))
-        postings: list[dict] = [defaultdict(lambda: ([], [])) for _ in range(self.blocks)]
-        for at, c in enumerate(self.counts):
-            b = at // block
-            for w, x in self.unit(c):
-                self.largest[w, b] = max(self.largest[w, b], x)
-                docs, weights = postings[b][w]
-                docs.append(at % block)
-                weights.append(x)
-        self.postings = [{w: (np.array(d), np.array(x)) for w, (d, x) in p.items()} for p in postings]
-        self.block = block
+        self.blocks, self.block = -(-len(keep) // block), block
+        doc, term, x = self._vectors(self.counts)
+        held = np.bincount(term, minlength=len(self.idf))
+        self.row = np.full(len(self.idf), -1)
+        rows = np.flatnonzero(held > max(1.0, ROW_SHARE * len(keep)))
+        self.row[rows] = np.arange(len(rows))
+        dense = self.row[term] >= 0
+        self.rows = np.zeros((len(rows), self.blocks * block))
+        self.rows[self.row[term[dense]], doc[dense]] = x[dense]
+        self.row_largest = self.rows.reshape(len(rows), self.blocks, block).max(axis=2, initial=0.0)
+        doc, term, x = doc[~dense], term[~dense], x[~dense]
+        order = np.lexsort((doc, term))
+        self.doc, self.x = doc[order].astype(np.int32), x[order]
+        self.many = np.bincount(term, minlength=len(self.idf))
+        self.first = np.cumsum(self.many) - self.many
+
+        # the same by block: for each term and block the largest weight
+        at, inverse = np.unique(term[order].astype(np.int64) * max(1, self.blocks) + self.doc // block, return_inverse=True)
+        self.block_x = np.zeros(len(at))
+        np.maximum.at(self.block_x, inverse, self.x)
+        self.block_of = (at % max(1, self.blocks)).astype(np.int32)
+        self.block_many = np.bincount(at // max(1, self.blocks), minlength=len(self.idf))
+        self.block_first = np.cumsum(self.block_many) - self.block_many
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "counts": None}
+
+    def _vectors(self, counts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(vector, term, weight) of all entries."""
+        n = np.array([len(c) for c in counts], np.int64)
+        flat = np.fromiter(chain.from_iterable(chain.from_iterable(counts)), np.int64, 2 * int(n.sum())).reshape(-1, 2)
+        doc, term = np.repeat(np.arange(len(counts)), n), flat[:, 0]
+        x = (1 + np.log(flat[:, 1])) * self.idf[term]
+        norm = np.sqrt(np.bincount(doc, x * x, minlength=len(counts)))
+        return doc, term, x / np.where(norm > 0, norm, 1.0)[doc]
 
     def unit(self, counts: tuple) -> list[tuple[int, float]]:
-        x = [(w, (1 + np.log(c)) * self.idf[w]) for w, c in counts]
-        norm = float(np.sqrt(sum(v * v for _, v in x))) or 1.0
-        return [(w, v / norm) for w, v in x]
+        _, term, x = self._vectors([counts])
+        return list(zip(term.tolist(), x.tolist(), strict=True))
 
     def nearest(self, counts: tuple, k: int = NEIGHBOURS, leave_out: int | None = None) -> list[tuple[float, int]]:
         """[(cosine, place of the example), ...]: the k largest cosines above 0, ties to the smaller id."""
-        q = self.unit(counts)
-        if not q or not self.blocks:
-            return []
-        bounds = sum(x * self.largest[w] for w, x in q)
-        best: list[tuple[float, int, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < best[-1][0] - 1e-9:
-                break
-            scores = np.zeros(self.block)
-            for w, x in q:
-                if w in self.postings[b]:
-                    docs, weights = self.postings[b][w]
-                    scores[docs] += x * weights
-            base = int(b) * self.block
-            floor = best[-1][0] - 1e-9 if len(best) == k else 0.0
-            # rounding makes equal sums comparable whatever their order of addition
-            best += [(round(float(scores[i]), 9), int(self.ids[base + i]), base + int(i)) for i in np.flatnonzero(scores > floor) if base + i != leave_out]
-            best.sort(key=lambda t: (-t[0], t[1], t[2]))
-            del best[k:]
-        return [(c, at) for c, _, at in best]
+        return self.nearest_of([counts], k, None if leave_out is None else [leave_out])[0]
+
+    def nearest_of(self, counts: list[tuple], k: int = NEIGHBOURS, leave_out: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """``nearest`` of each of a few texts."""
+        n, blocks, block = len(counts), self.blocks, self.block
+        if not n or not blocks:
+            return [[] for _ in counts]
+        doc, term, x = self._vectors(counts)
+        dense = self.row[term] >= 0
+        q = np.zeros((n, len(self.rows)))
+        q[doc[dense], self.row[term[dense]]] = x[dense]
+        doc, term, x = doc[~dense], term[~dense], x[~dense]
+
+        def added(first: np.ndarray, many: np.ndarray, to: np.ndarray, by: np.ndarray, width: int) -> np.ndarray:
+            at, m = _spread(first[term], many[term]), many[term]
+            return np.bincount(np.repeat(doc * width, m) + to[at], np.repeat(x, m) * by[at], minlength=n * width).reshape(n, width).astype(float, copy=False)  # of nothing it is of integers
+
+        bounds = q @ self.row_largest + added(self.block_first, self.block_many, self.block_of, self.block_x, blocks)
+        scores = added(self.first, self.many, self.doc, self.x, blocks * block)
+        opened = np.zeros((n, blocks), bool)
+
+        def open_(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(axis=0)):
+                of, here = np.flatnonzero(wanted[:, b]), slice(b * block, (b + 1) * block)
+                # rounding makes equal sums comparable whatever their order of addition
+                scores[of, here] = np.round(scores[of, here] + q[of] @ self.rows[:, here], 9)
+            opened[wanted] = True
+
+        # one more than k, as an example may be left out
+        ahead = min(blocks, 1 + -(-(k + 1) // block))
+        most = np.zeros((n, blocks), bool)
+        np.put_along_axis(most, np.argpartition(-bounds, ahead - 1, axis=1)[:, :ahead], True, axis=1)
+        open_(most & (bounds > 0))
+        shown = np.where(np.repeat(opened, block, axis=1), scores, 0.0)
+        if leave_out is not None:
+            shown[np.arange(n), leave_out] = 0.0
+        kth = -np.partition(-shown, k - 1, axis=1)[:, k - 1] if shown.shape[1] > k else np.zeros(n)
+        open_(~opened & (bounds > 0) & (bounds >= kth[:, None] - 1e-8))
+        scores[~np.repeat(opened, block, axis=1)] = 0.0
+        if leave_out is not None:
+            scores[np.arange(n), leave_out] = 0.0
+        if scores.shape[1] > k:
+            kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+        out: list[list[tuple[float, int]]] = [[] for _ in counts]
+        for i, at in zip(*(v.tolist() for v in np.nonzero((scores > 0) & (scores >= kth[:, None]))), strict=True):
+            out[i].append((float(scores[i, at]), at))
+        return [sorted(near, key=lambda t: (-t[0], int(self.ids[t[1]]), t[1]))[:k] for near in out]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """The weighted share of toxic neighbours; closer ones weigh more."""
@@ -221,51 +285,47 @@ class ToxicityModel:
         share = y.mean()
         weight = np.where(y == 1, prior / share, (1 - prior) / (1 - share))
         idf = np.log((n_docs + 1) / (np.asarray(df, float) + 1)) + 1
+        idf[: vocabulary.telling] *= TELLING
         none = np.array([not c for c in counts])
         self.without = float((weight[none] @ y[none] + prior) / (weight[none].sum() + 1))
         self.index = BlockMaxIndex(idf, counts, ids, y, weight)
         self.steps = (np.array([0.0, 1.0]), np.array([prior, prior]))
         if len(self.index.ids):
-            votes = np.array([self.index.vote(self.index.nearest(c, k, at)) for at, c in enumerate(self.index.counts)])
+            own = range(len(self.index.ids))
+            near = [x for i in own[::TOGETHER] for x in self.index.nearest_of(self.index.counts[i : i + TOGETHER], k, list(own[i : i + TOGETHER]))]
+            votes = np.array([self.index.vote(x) for x in near])
             xs, ys = isotonic(votes, self.index.y, self.index.weight)
             # a pseudo-example at the prior keeps the ends off 0 and 1
             n = self.index.weight.sum()
             self.steps = (xs, (ys * n + prior) / (n + 1))
 
-    def judge(self, text: str | None, cache: OrderedDict | None = None) -> tuple[float, tuple]:
-        """The calibrated score, and ((example id, cosine, toxic), ...) of the nearest examples."""
+    def judge(self, texts: list[str | None]) -> list[tuple[float, tuple]]:
+        """The calibrated score of each text, and ((example id, cosine, toxic), ...) of its nearest examples."""
         if self.constant is not None:
-            return self.constant, ()
-        counts = self.vocabulary.counts(words_of(text))
-        if not counts:
-            return self.without, ()
-        if cache is not None and counts in cache:
-            cache.move_to_end(counts)
-            return cache[counts]
-        near = self.index.nearest(counts, self.k)
-        score = float(np.interp(self.index.vote(near), *self.steps)) if near else self.without
-        out = score, tuple((int(self.index.ids[at]), c, int(self.index.y[at])) for c, at in near)
-        if cache is not None:
-            cache[counts] = out
-            if len(cache) > 20_000:
-                cache.popitem(last=False)
+            return [(self.constant, ()) for _ in texts]
+        out = []
+        for i in range(0, len(texts), TOGETHER):
+            for near in self.index.nearest_of([self.vocabulary.counts(words_of(t)) for t in texts[i : i + TOGETHER]], self.k):
+                score = float(np.interp(self.index.vote(near), *self.steps)) if near else self.without
+                out.append((score, tuple((int(self.index.ids[at]), c, int(self.index.y[at])) for c, at in near)))
         return out
 
 
 def document_counts(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
     """In how many documents each term occurs, and how many there are; counted over the whole table.
 
-    A task sends one count for each term of the bounded vocabulary.
+    A task sends one count for each term of the bounded vocabulary that it met.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, df = 0, np.zeros(len(vocabulary), np.int64)
         for b in batches:
             n += len(b)
-            for text in b["text"]:
-                for t, _ in vocabulary.counts(words_of(text)):
-                    df[t] += 1
-        yield pd.DataFrame({"term": [-1, *range(len(df))], "n": [n, *df.tolist()]})
+            for i in range(0, len(b), TOGETHER):
+                met = [t for text in b["text"].iloc[i : i + TOGETHER] for t, _ in vocabulary.counts(words_of(text))]
+                df += np.bincount(np.array(met, np.int64), minlength=len(df))
+        met = np.flatnonzero(df)
+        yield pd.DataFrame({"term": [-1, *met.tolist()], "n": [n, *df[met].tolist()]})
 
     got = docs.select("text").mapInPandas(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     by = dict(zip(got["term"].tolist(), got["n"].tolist(), strict=True))
@@ -282,9 +342,11 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = MAX_EXAMPLES, k: i
     )
     base = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).agg(F.avg("toxic")).first()[0]
     y = got["y"].to_numpy(int)
-    vocabulary = Vocabulary(select_terms(got["text"].tolist(), y) if len(set(y.tolist())) == 2 else [])
+    texts = got["text"].tolist()
+    telling = select_terms(texts, y) if len(set(y.tolist())) == 2 else []
+    vocabulary = Vocabulary(all_terms(texts, telling) if len(set(y.tolist())) == 2 else [], len(telling))
     df, n = document_counts(docs, vocabulary) if len(vocabulary) else (np.zeros(0), 0)
-    counts = [vocabulary.counts(words_of(t)) for t in got["text"]]
+    counts = [vocabulary.counts(words_of(t)) for t in texts]
     return ToxicityModel(vocabulary, got["lid"].tolist(), counts, y, float(base if base is not None else 0.5), df, n, k)
 
 
@@ -293,9 +355,8 @@ def judged(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     @F.pandas_udf("struct<score: double, evidence: array<struct<doc_id: long, cosine: double, toxic: int>>>")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        cache: OrderedDict = OrderedDict()
         for texts in batches:
-            out = [model.judge(t, cache) for t in texts]
+            out = model.judge(texts.tolist())
             yield pd.DataFrame({
                 "score": [s for s, _ in out],
                 "evidence": [[{"doc_id": d, "cosine": c, "toxic": y} for d, c, y in e] for _, e in out],

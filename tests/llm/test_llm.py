@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -378,6 +379,45 @@ def test_block_max_search_is_exact():
         assert [i for _, i in got] == [i for _, i in want] and np.allclose([x for x, _ in got], [x for x, _ in want])
 
 
+def test_texts_without_a_telling_term_are_searched_too(spark):
+    texts, labels, table = labelled(spark)
+    kept = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5][0]
+    rare = " ".join(f"seldom{i}" for i in range(40))
+    texts[kept] = rare
+    docs = docs_of(spark, [*texts, rare, "unheard of"], [*range(len(texts)), 9004, 9005])
+    got = {r["doc_id"]: r["_toxicity"]["evidence"] for r in toxicity.score_documents(docs, table).collect()}
+    assert got[9004][0]["doc_id"] == kept and got[9004][0]["cosine"] == pytest.approx(1)
+    assert got[9005] == []
+    no_insult = [i for i, (t, (_, _, toxic)) in enumerate(zip(texts, labels, strict=True)) if not toxic and i != kept]
+    assert no_insult and all(len(got[i]) == 15 for i in no_insult)
+
+
+def test_search_of_many_is_exact_over_all_terms():
+    rng = np.random.default_rng(4)
+    draw = lambda: tuple(sorted(Counter(np.minimum(rng.zipf(1.3, rng.integers(1, 80)), 900).tolist()).items()))
+    counts = [draw() for _ in range(700)]
+    counts += counts[:20]
+    idf = rng.uniform(1, 5, 901)
+    index = toxicity.BlockMaxIndex(idf, counts, list(range(720)), np.arange(720) % 2, np.ones(720), block=16)
+
+    def dense(c):
+        v = np.zeros(901)
+        for w, n in c:
+            v[w] = (1 + np.log(n)) * idf[w]
+        return v / np.linalg.norm(v)
+
+    table = np.array([dense(c) for c in counts])
+    place = {int(i): at for at, i in enumerate(index.ids)}
+    out = [None, place[3]]
+    for leave in out:
+        asked = [counts[3]] if leave is not None else [draw() for _ in range(150)]
+        for c, near in zip(asked, index.nearest_of(asked, 15, None if leave is None else [leave]), strict=True):
+            s = np.round(table @ dense(c), 9)
+            want = [i for i in sorted(range(720), key=lambda i: (-s[i], i)) if s[i] > 0 and (leave is None or i != 3)][:15]
+            assert [int(index.ids[at]) for _, at in near] == want
+            assert np.allclose([x for x, _ in near], s[want])
+
+
 # -- sharding, archives ------------------------------------------------------------------------------------------------
 
 
