@@ -521,7 +521,15 @@ def _(spark, sf):
 
 @_add("frame_text", "SELECT event_id, upper(to_hex(user_id % 256)) AS hex, strftime(make_timestamp(epoch_us(ts)), '%Y-%m-%d %H:%M:%S') AS label FROM events WHERE event_id % 100 = 0")
 def _(spark, sf):
-    e = table(spark, sf, "events").where("event_id % 100 = 0")
+    return _frame_text(table(spark, sf, "events").where("event_id % 100 = 0"))
+
+
+@_add("frame_text_every", "SELECT event_id, upper(to_hex(user_id % 256)) AS hex, strftime(make_timestamp(epoch_us(ts)), '%Y-%m-%d %H:%M:%S') AS label FROM events")
+def _(spark, sf):
+    return _frame_text(table(spark, sf, "events"))
+
+
+def _frame_text(e: DataFrame) -> DataFrame:
     return e.select("event_id", F.hex(F.col("user_id") % 256).alias("hex"), F.substring(text.absolute_label((seconds(e, "ts") * 1000).cast("long")), 1, 19).alias("label"))
 
 

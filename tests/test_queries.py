@@ -39,3 +39,8 @@ def test_entry_points(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     if os.path.isdir(SF):
         assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_every_event_is_rendered(spark):
+    assert queries.QUERIES["frame_text_every"](spark, SF).count() == queries.table(spark, SF, "events").count()
