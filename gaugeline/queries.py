@@ -200,7 +200,16 @@ def _(spark, sf):
 @_add("resample_onto_orders", f"""WITH {EV}, tg AS (SELECT DISTINCT s.series, epoch_us(o_orderdate) / 1e6 + 3.0e8 AS t FROM orders, (SELECT DISTINCT series FROM ev) s WHERE o_orderkey % 50 = 0), {_ASOF}
 SELECT pn.series, pn.t, coalesce(pv, fv) AS v, coalesce(pk, fk) AS valid FROM pn JOIN f USING (series)""")
 def _(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey % 50 = 0")
+    return _onto_orders(spark, sf, table(spark, sf, "orders").where("o_orderkey % 50 = 0"))
+
+
+@_add("resample_onto_every_order", f"""WITH {EV}, tg AS (SELECT DISTINCT s.series, epoch_us(o_orderdate) / 1e6 + 3.0e8 AS t FROM orders, (SELECT DISTINCT series FROM ev) s), {_ASOF}
+SELECT pn.series, pn.t, coalesce(pv, fv) AS v, coalesce(pk, fk) AS valid FROM pn JOIN f USING (series)""")
+def _(spark, sf):
+    return _onto_orders(spark, sf, table(spark, sf, "orders"))
+
+
+def _onto_orders(spark: SparkSession, sf: str, o: DataFrame) -> DataFrame:
     stamps = o.select((seconds(o, "o_orderdate") + 3.0e8).alias("t")).distinct().withColumn("one", F.lit(1))
     e = events(spark, sf)
     targets = stamps.join(F.broadcast(e.select("series").distinct().withColumn("one", F.lit(1))), "one").select("series", "t")

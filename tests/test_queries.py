@@ -44,3 +44,10 @@ def test_entry_points(spark):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 def test_every_event_is_rendered(spark):
     assert queries.QUERIES["frame_text_every"](spark, SF).count() == queries.table(spark, SF, "events").count()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_every_order_stamp_is_resampled_onto(spark):
+    stamps = queries.table(spark, SF, "orders").select("o_orderdate").distinct().count()
+    kinds = queries.table(spark, SF, "events").select("event_type").distinct().count()
+    assert queries.QUERIES["resample_onto_every_order"](spark, SF).count() == stamps * kinds
