@@ -517,6 +517,11 @@ def _(spark, sf):
     return series.flattened(table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 4).alias("m")), (2, 2), "m")
 
 
+@_add("flatten_array_whole", "SELECT vec_id, " + ", ".join(f'embedding[{8 * i + j + 1}] AS "m[{i}][{j}]"' for i in range(8) for j in range(8)) + " FROM embeddings")
+def _(spark, sf):
+    return series.flattened(table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("m")), (8, 8), "m")
+
+
 @_add("index_master", "SELECT conv_id, turn AS idx, turn::DOUBLE AS t, role AS v FROM conversations")
 def _(spark, sf):
     c = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("idx"), F.col("role").alias("v"))
@@ -528,6 +533,11 @@ def _(spark, sf):
     return xy.gps_track(one(spark, sf, "click"), one(spark, sf, "view"), most=500).select("idx", "t", "lat", "lon")
 
 
+@_add("gps_track_default", f"WITH {EV}, n AS (SELECT max(idx) + 1 AS n FROM ev WHERE series = 'click'), a AS (SELECT idx, t, v FROM ev WHERE series = 'click'), b AS (SELECT idx, v FROM ev WHERE series = 'view') SELECT a.idx, a.t, a.v AS lat, coalesce(b.v, 'nan'::DOUBLE) AS lon FROM a LEFT JOIN b USING (idx), n WHERE a.idx % greatest(1, ceil(n / 20000.0)) = 0")
+def _(spark, sf):
+    return xy.gps_track(one(spark, sf, "click"), one(spark, sf, "view")).select("idx", "t", "lat", "lon")
+
+
 @_add("frame_text", "SELECT event_id, upper(to_hex(user_id % 256)) AS hex, strftime(make_timestamp(epoch_us(ts)), '%Y-%m-%d %H:%M:%S') AS label FROM events WHERE event_id % 100 = 0")
 def _(spark, sf):
     return _frame_text(table(spark, sf, "events").where("event_id % 100 = 0"))
