@@ -1,27 +1,25 @@
 """N-gram Jaccard self-join with a token-group matrix: exact links of word-shingle sets.
 
-1. Equal sets are one vertex, kept under the smallest document id (a 128-bit key of the sorted set).
-2. Similar sets are partitioned into groups: sets that share one of a few min-hashes are compared with
-   that bucket's first set only, and the links found join into groups.
-3. The matrix holds, for each token of a set's prefix, the groups that have it, the tokens being ordered
-   from rare to frequent by one order for all. The tokens of one group alone drop out, so copies, however
-   many, are one entry. While many groups share a token, each set is first compared with a few sets that
-   lead its tokens, which joins the groups of one large family without looking at all its pairs. Sets whose
-   shared tokens are too few for a link with any size of set leave the matrix. Then the
-   shared entries bound the overlap of a query set with a group: two sets overlap in the tokens their
-   prefixes share and, at most, in all that lies behind the shorter-reaching prefix. Groups whose bound
-   is below the overlap that the sizes ask for are left closed.
-4. A qualifying group is opened in two steps: its middle set, then, if query and group are still apart,
-   every member of a fitting size. Each pair is verified on the whole sets; the links' components are
-   the result. No link between different groups is lost, whatever the order of tokens.
-
-Whole sets travel only for documents that take part in a comparison. The order needs the frequent
-tokens: each task counts its tokens, sends those met at least ``LOCAL`` times in a block, and at most
-``HOT_TOKENS`` of them, the most frequent, are broadcast. A token left out costs time, never a link.
+1. Equal sets are one vertex with a multiplicity, kept under the smallest document id; its key is 128 bits of
+   the sorted set.
+2. Similar sets are partitioned into groups: a set joins the set that most of its sketch's buckets name first.
+   A group of many tokens is cut into groups of bounded size, so a family of any size is a few groups.
+3. The matrix holds, for each token of a prefix, the groups that have it, the tokens being ordered from rare
+   to frequent by one order for all. Tokens of one group alone drop out. A set and a group that share too few
+   entries for a link with any size of member never meet; of two groups the smaller one's sets ask.
+4. A group that is asked, or has two members, is read once with its asking sets. The group's token union
+   bounds each asking set's overlap with any member; only sets whose bound reaches the threshold open the
+   group, and are compared with every member on the whole sets. A meeting sends, for each set, the number of
+   its links and one edge to its component there, never the pairs.
+
+The order needs the frequent tokens: each task counts its tokens, sends those met at least ``LOCAL`` times
+in a block, and at most ``HOT_TOKENS`` of them, the most frequent, are broadcast. A token left out costs
+time, never a link, and neither does a set that lands in an unfit group.
 
 Defined cases: null, empty or blank text has no shingles and links with nothing; texts of fewer than k
 words are one shingle; a row with a null id links with nothing and has no component; rows that repeat
-an id share its component; an empty table gives an empty result; other columns are ignored.
+an id share its component; an empty table gives an empty result; other columns are ignored; texts of any
+length are cut whole.
 """
 
 from __future__ import annotations
@@ -32,7 +30,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugeline.llm.common import read, small_side, written
@@ -40,23 +37,29 @@ from gaugeline.llm.components import connected_components
 
 WORDS = 5
 PERCENT = 80
-MIN_HASHES = 4
+#: Buckets that a set's sketch has at most, and the share of its own that must name one set first.
+BINS = 10
+ALIKE = 0.3
 #: Tokens that a prefix holds beyond those that can all differ.
 ROOM = 3
-#: Members of a group that are read together on average.
-MEMBERS = 256
-#: Sets that lead a set's tokens and are compared with it in a turn, turns, and how many times its own
-#: size a join of the matrix with itself may have before turns are taken.
-LEADERS = 4
-TURNS = 2
-WIDE = 8
+#: Tokens and members of a group, and of the sets that meet it at a time, on average.
+GROUP_TOKENS = 200_000
+GROUP_MEMBERS = 1_000
+#: Cells of a meeting's matrix that are held at a time.
+CELLS = 4_000_000
 HOT_TOKENS = 500_000
 LOCAL = 3
+#: Partitions over which the rows of a frequent token are spread.
+SALTS = 64
 #: Tokens that are counted together in a task, and rows of a matrix partition on average.
 BLOCK = 1_000_000
 #: Documents that a task cuts up together.
-TOGETHER = 1_000
+TOGETHER = 500
 PART_ROWS = 1_500_000
+#: Keys whose first halves are equal, at most (none are expected below 10**9 documents).
+MAX_CLASHES = 10_000
+#: Rows of ``_roles`` that are shipped to every executor at most.
+SHIPPED_ROLES = 300_000
 
 _U = np.uint64
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], dtype=_U)
@@ -97,8 +100,23 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return int(d[0]), int(d[1])
 
 
-def min_hashes(s: np.ndarray, count: int = MIN_HASHES) -> np.ndarray:
-    return np.array([_mix(s ^ _SEEDS[i]).min() for i in range(count)], _U).view(np.int64)
+def set_id(s: np.ndarray, clash: frozenset[int] = frozenset()) -> int:
+    """A set's number: half of its key, or the other half if two keys have that one."""
+    hi, lo = set_key(s)
+    return lo if hi in clash else hi
+
+
+_EDGES = np.array([(i << 64) // BINS for i in range(BINS)], _U)
+
+
+def sketch(s: np.ndarray) -> list[int | None]:
+    """The smallest mixed token of each of ``BINS`` equal ranges of a sorted set; None where it has no token."""
+    starts = np.searchsorted(s, _EDGES)
+    filled = np.flatnonzero(np.diff(np.append(starts, len(s))))
+    out: list[int | None] = [None] * BINS
+    for i, m in zip(filled.tolist(), np.minimum.reduceat(_mix(s ^ _SEEDS[0]), starts[filled]).view(np.int64).tolist(), strict=True):
+        out[i] = m
+    return out
 
 
 def least_overlap(n: int, percent: int = PERCENT) -> int:
@@ -110,11 +128,8 @@ def prefix_length(n: int, percent: int = PERCENT, room: int = ROOM) -> int:
     return min(n, n - least_overlap(n, percent) + room)
 
 
-_SETS = "kind int, id long, n long, hi long, lo long, mh array<long>"
-
-
 def _profile(docs: DataFrame, k: int) -> DataFrame:
-    """Rows of kind 0: (doc id, n, key, min-hashes); of kind 1: (token, count) of a block's frequent tokens."""
+    """Rows of kind 0: (doc id, n, key, sketch); of kind 1: (token, count) of a block's frequent tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -125,10 +140,10 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
             t, c = np.unique(np.concatenate(held) if held else np.empty(0, _U), return_counts=True)
             t, c = t[c >= LOCAL].view(np.int64), c[c >= LOCAL]
             z = pa.nulls(len(t), pa.int64())
-            return pa.record_batch([pa.array(np.ones(len(t), np.int32)), pa.array(t), pa.array(c.astype(np.int64)), z, z, pa.nulls(len(t), pa.list_(pa.int64()))], names=["kind", "id", "n", "hi", "lo", "mh"])
+            return pa.record_batch([pa.array(np.ones(len(t), np.int32)), pa.array(t), pa.array(c.astype(np.int64)), z, z, pa.nulls(len(t), pa.list_(pa.int64()))], names=["kind", "id", "n", "hi", "lo", "mins"])
 
         for b in _slices(batches):
-            ids, ns, his, los, mhs = [], [], [], [], []
+            ids, ns, his, los, mins = [], [], [], [], []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = shingles(text, k)
                 hi, lo = set_key(s) if len(s) else (None, None)
@@ -136,25 +151,25 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
                 ns.append(len(s))
                 his.append(hi)
                 los.append(lo)
-                mhs.append(min_hashes(s).tolist() if len(s) else None)
+                mins.append(sketch(s) if len(s) else None)
                 if len(s) and (hi, lo) not in met:
                     met.add((hi, lo))
                     held.append(s)
                     size += len(s)
-            yield pa.record_batch([pa.array(np.zeros(len(ids), np.int32)), pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(his, pa.int64()), pa.array(los, pa.int64()), pa.array(mhs, pa.list_(pa.int64()))], names=["kind", "id", "n", "hi", "lo", "mh"])
+            yield pa.record_batch([pa.array(np.zeros(len(ids), np.int32)), pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(his, pa.int64()), pa.array(los, pa.int64()), pa.array(mins, pa.list_(pa.int64()))], names=["kind", "id", "n", "hi", "lo", "mins"])
             if size >= BLOCK:
                 yield frequent()
                 held, size = [], 0
                 met.clear()
         yield frequent()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SETS)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "kind int, id long, n long, hi long, lo long, mins array<long>")
 
 
-def _matrix_rows(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], k: int, percent: int) -> DataFrame:
-    """(token, sid, n): the prefix of each distinct set, its tokens from rare to frequent.
+def _matrix_rows(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], clash: frozenset[int], k: int, percent: int) -> DataFrame:
+    """(token, salt, sid, n): the prefix of each distinct set, its tokens from rare to frequent.
 
-    ``sid`` is half of the set's key. A task sends a set once.
+    A task sends a set once. Tokens known as frequent are salted by the set over ``SALTS`` partitions.
     """
     sent = docs.sparkSession.sparkContext.broadcast(hot)
 
@@ -162,86 +177,66 @@ def _matrix_rows(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], k: int, pe
         tokens, counts = sent.value
         met: set[int] = set()
         for b in _slices(batches):
-            out_t, out_s, out_n = [], [], []
+            out_t, out_s, out_n, out_k = [], [], [], []
             for text in b.column(0).to_pylist():
                 s = shingles(text, k)
                 if not len(s):
                     continue
-                sid = set_key(s)[0]
+                sid = set_id(s, clash)
                 if sid in met:
                     continue
                 met.add(sid)
                 p = prefix_length(len(s), percent)
+                weight = np.zeros(len(s), np.int64)
                 if len(tokens):
                     at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
                     weight = np.where(tokens[at] == s, counts[at], 0)
-                    s = s[np.lexsort((s, weight))]
-                out_t.append(s[:p])
+                    order = np.lexsort((s, weight))[:p]
+                    s, weight, n = s[order], weight[order], len(s)
+                else:
+                    s, weight, n = s[:p], weight[:p], len(s)
+                out_t.append(s)
                 out_s.append(np.full(p, sid, np.int64))
-                out_n.append(np.full(p, len(s), np.int64))
+                out_n.append(np.full(p, n, np.int64))
+                out_k.append(np.where(weight > 0, sid % SALTS, -1).astype(np.int32))
             if out_t:
-                yield pa.record_batch([pa.array(np.concatenate(out_t).view(np.int64)), pa.array(np.concatenate(out_s)), pa.array(np.concatenate(out_n))], names=["token", "sid", "n"])
+                yield pa.record_batch([pa.array(np.concatenate(out_t).view(np.int64)), pa.array(np.concatenate(out_k)), pa.array(np.concatenate(out_s)), pa.array(np.concatenate(out_n))], names=["token", "salt", "sid", "n"])
 
-    return docs.select("text").mapInArrow(run, "token long, sid long, n long")
+    return docs.select("text").mapInArrow(run, "token long, salt int, sid long, n long")
 
 
 def _shared(rows: DataFrame, parts: int) -> DataFrame:
-    """The matrix rows whose token two different sets have; a partition is sorted in numpy."""
+    """The matrix rows whose token two different sets have, each once.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [tuple(c.to_numpy() for c in b.columns) for b in batches if b.num_rows]
-        if not got:
-            return
-        t, s, n = (np.concatenate(c) for c in zip(*got, strict=True))
-        order = np.lexsort((s, t))
-        t, s, n = t[order], s[order], n[order]
-        same_t = t[1:] == t[:-1]
-        keep = np.ones(len(t), bool)
-        keep[1:] = ~(same_t & (s[1:] == s[:-1]))  # a set that several tasks sent
-        t, s, n = t[keep], s[keep], n[keep]
-        same_t = t[1:] == t[:-1]
-        multi = np.zeros(len(t), bool)
-        multi[1:] |= same_t
-        multi[:-1] |= same_t
-        for at in range(0, int(multi.sum()), 100_000):
-            cut = slice(at, at + 100_000)
-            yield pa.record_batch([pa.array(t[multi][cut]), pa.array(s[multi][cut]), pa.array(n[multi][cut])], names=["token", "sid", "n"])
-
-    return rows.repartition(parts, "token").mapInArrow(run, "token long, sid long, n long")
-
-
-def _whole_sets(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """(sid, s) for the sets in (a, b) pairs: only their documents' texts are cut up again."""
-    needed = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(reps.select("sid", "rep"), "sid")
-    needed = written(needed.select(F.col("sid").alias("need"), F.col("rep").alias("doc_id")), "needed")
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small_side(needed, needed.count()), "doc_id")
+    Spark sorts a partition, on disk if need be, and a task holds a batch and one row whatever a token's
+    count is. Salted tokens are known to be shared.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
-            sids, sets = [], []
-            for need, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = shingles(text, k)
-                if len(s) and set_key(s)[0] == need:  # else another row with the same id
-                    sids.append(need)
-                    sets.append(s.view(np.int64))
-            if sids:
-                lengths = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-                yield pa.record_batch([pa.array(sids, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(sets)))], names=["sid", "s"])
-
-    return written(found.select("need", "text").mapInArrow(run, "sid long, s array<long>").dropDuplicates(["sid"]), "whole-sets")
-
-
-def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The (a, b) pairs whose sets reach the threshold, on the whole sets."""
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
-    sets = _whole_sets(docs, reps, pairs, k)
-    both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("sid").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return written(both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), common.alias("i")).where(F.expr(f"100L * i >= {percent}L * (na + nb - i)")).select("a", "b"), "verified")
-
-
-def _fits(a: str, b: str, percent: int):
-    return F.expr(f"100 * {a} >= {percent} * {b} AND 100 * {b} >= {percent} * {a}")
+        alone: tuple | None = None  # the last row, if no other set has had its token yet
+        seen: tuple[int, int] | None = None  # else the token and set of the last row
+        for b in batches:
+            t, k, s, n = (c.to_numpy() for c in b.columns)
+            if alone is not None:
+                t, k, s, n = (np.concatenate([[x], c]) for x, c in zip(alone, (t, k, s, n), strict=True))
+            keep = np.ones(len(t), bool)
+            keep[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1])  # a set that several tasks sent
+            if seen is not None:
+                keep &= (t != seen[0]) | (s != seen[1])
+            t, k, s, n = t[keep], k[keep], s[keep], n[keep]
+            if not len(t):
+                continue
+            shared = k >= 0
+            same = t[1:] == t[:-1]
+            shared[1:] |= same
+            shared[:-1] |= same
+            if seen is not None:
+                shared |= t == seen[0]
+            alone = None if shared[-1] else (t[-1], k[-1], s[-1], n[-1])
+            seen = (t[-1], s[-1]) if shared[-1] else None
+            yield pa.record_batch([pa.array(t[shared]), pa.array(s[shared]), pa.array(n[shared])], names=["token", "sid", "n"])
+
+    return rows.repartition(parts, "token", "salt").sortWithinPartitions("token", "sid").mapInArrow(run, "token long, sid long, n long")
 
 
 def _needed(n: str, m: str, percent: int) -> str:
@@ -251,141 +246,233 @@ def _needed(n: str, m: str, percent: int) -> str:
     return f"greatest(1, ({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent} - greatest({', '.join(behind)}))"
 
 
-def _labelled(reps: DataFrame, links: DataFrame) -> DataFrame:
-    """``reps`` with ``g``, the smallest sid of the group that the links make."""
-    groups = connected_components(links)
-    return written(reps.join(groups.withColumnRenamed("id", "sid"), "sid", "left").withColumn("g", F.coalesce("component", "sid")).drop("component"), "groups")
+def _needed_between(low: str, high: str, percent: int) -> str:
+    """SQL for the least that a set of n shares with a set whose size lies in a range: the need is least
+    at an end of it; one less makes up for rounding in between."""
+    return f"greatest(1, least({_needed('n', low, percent)}, {_needed('n', high, percent)}) - 1)"
 
 
-def _across(shared: DataFrame, grouped: DataFrame) -> tuple[DataFrame, int, int]:
-    """The matrix rows with their groups, of tokens that two groups have; how many rows there are, and how
-    many a join of each token's rows with its groups would give."""
-    rows = shared.join(grouped.select("sid", "g"), "sid")
-    tokens = rows.groupBy("token").agg(F.count(F.lit(1)).alias("r"), F.countDistinct("g").alias("c")).where("c > 1")
-    tokens = written(tokens, "tokens")
-    size = tokens.agg(F.sum("r").alias("r"), F.sum(F.col("r") * F.col("c")).alias("j")).first()
-    return written(rows.join(tokens.select("token", "r"), "token"), "matrix"), size["r"] or 0, size["j"] or 0
+def _grouped(reps: DataFrame) -> DataFrame:
+    """``reps`` without sketches, with ``g``: a set's group.
 
+    Each bucket of a sketch names the smallest set in it; a set follows the one that most of its buckets
+    name, twice over. Families are cut by a hash so that a group holds about ``GROUP_TOKENS``.
+    """
+    keyed = reps.select("sid", F.size(F.filter("mins", lambda x: x.isNotNull())).alias("filled"), F.posexplode("mins").alias("i", "m")).where("m IS NOT NULL")
+    firsts = keyed.groupBy("i", "m").agg(F.min("sid").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("i", "m", "first")
+    votes = keyed.join(firsts, ["i", "m"]).where("sid <> first").groupBy("sid", "first").agg(F.count(F.lit(1)).alias("c"), F.first("filled").alias("filled"))
+    follows = votes.where(F.col("c") >= F.greatest(F.lit(1), F.col("filled") * ALIKE)).groupBy("sid").agg(F.max_by("first", F.struct("c", -F.col("first"))).alias("leader"))
+    follows = written(follows, "leaders")
+    twice = follows.join(follows.select(F.col("sid").alias("leader"), F.col("leader").alias("above")), "leader", "left")
+    families = written(twice.select("sid", F.coalesce("above", "leader").alias("family")), "families")
+    held = reps.drop("mins").join(families, "sid", "left").withColumn("family", F.coalesce("family", "sid"))
+    sizes = held.groupBy("family").agg(F.greatest(F.ceil(F.sum("n") / GROUP_TOKENS), F.ceil(F.count(F.lit(1)) / GROUP_MEMBERS)).alias("blocks")).where("blocks > 1")
+    cut = F.when(F.col("blocks").isNull(), F.col("family")).otherwise(F.xxhash64("family", F.pmod(F.xxhash64("sid"), "blocks")))
+    return held.join(written(sizes, "large-families"), "family", "left").withColumn("g", cut).drop("family", "blocks")
+
+
+def _asks(shared: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
+    """(sid, n, h): sets with the other groups that their prefixes let them link with."""
+    ranges = written(grouped.groupBy("g").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("least"), F.max("n").alias("most")), "group-sizes")
+    rows = written(shared.join(grouped.select("sid", "g"), "sid").join(ranges.select("g", "members"), "g"), "matrix")
+    across = rows.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("token")
+    rows = written(rows.join(across, "token"), "matrix-across")
+    # a set with fewer tokens across than any link takes is no party to one
+    least = F.expr(_needed_between(f"({percent} * n + 99) div 100", f"100 * n div {percent}", percent))
+    alive = rows.groupBy("sid", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least).select("sid")
+    rows = written(rows.join(alive, "sid"), "matrix-alive")
+    columns = rows.groupBy("token", F.col("g").alias("h"), F.col("members").alias("size")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    low, high = f"greatest(least, ({percent} * n + 99) div 100)", f"least(most, 100 * n div {percent})"
+    met = rows.join(columns, "token").where("members < size OR members = size AND g < h").where(f"{low} <= {high}")
+    met = met.groupBy("sid", "n", "h").agg(F.count(F.lit(1)).alias("c"))
+    met = met.join(ranges.select(F.col("g").alias("h"), "least", "most"), "h")
+    return written(met.where(F.col("c") >= F.expr(_needed_between(low, high, percent))).select("sid", "n", "h"), "asks")
 
-def _led(matrix: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each set with the few sets of other groups that lead most of its tokens.
 
-    A token's leader among the sets of a size class is the set whose prefix tokens the most sets have on average: it has the fewest tokens
-    of its own, so of a family it lies nearest to the middle.
-    """
-    whole = F.expr(f"greatest(1, n - ({percent} * n + 99) div 100 + {ROOM})")
-    share = matrix.groupBy("sid", "n").agg((F.sum("r") / whole).alias("s")).select("sid", "s")
-    first = F.max_by(F.struct(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("g").alias("gb")), F.struct("s", F.xxhash64("sid")))
-    classed = matrix.withColumn("k", F.expr(_class("n")))
-    leaders = written(classed.join(share, "sid").groupBy("token", "k").agg(first.alias("l")).select("token", "k", "l.*"), "leaders")
-    met = classed.join(leaders, ["token", "k"]).where("g <> gb").where(_fits("n", "nb", percent))
-    most = F.row_number().over(W.partitionBy("sid").orderBy(F.desc("c"), "b"))
-    return met.groupBy("sid", "b").agg(F.count(F.lit(1)).alias("c")).withColumn("r", most).where(F.col("r") <= LEADERS).select(F.col("sid").alias("a"), "b")
+def _roles(grouped: DataFrame, asks: DataFrame) -> DataFrame:
+    """(doc_id, sid, copies, h, block, asking): which sets meet in which block of which group's askers."""
+    blocks = asks.groupBy("h").agg(F.greatest(F.ceil(F.sum("n") / GROUP_TOKENS), F.ceil(F.count(F.lit(1)) / GROUP_MEMBERS)).alias("blocks"))
+    several = grouped.groupBy(F.col("g").alias("h")).agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("h")
+    opened = written(several.join(blocks, "h", "full").select("h", F.coalesce("blocks", F.lit(1)).cast("int").alias("blocks")), "opened")
+    members = grouped.join(opened.withColumnRenamed("h", "g"), "g").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.select("rep", "sid", "copies", F.col("g").alias("h"), "block", F.lit(0).alias("asking"))
+    asking = asks.select("sid", "h").join(opened, "h").join(grouped.select("sid", "rep", "copies"), "sid")
+    asking = asking.select("rep", "sid", "copies", "h", F.pmod(F.xxhash64("sid"), "blocks").cast("int").alias("block"), F.lit(1).alias("asking"))
+    return written(members.unionByName(asking).withColumnRenamed("rep", "doc_id"), "roles")
+
 
+def _with_sets(docs: DataFrame, roles: DataFrame, clash: frozenset[int], k: int) -> DataFrame:
+    """``roles`` with the whole sets, from the documents that take part."""
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small_side(roles, roles.count(), SHIPPED_ROLES), "doc_id")
 
-def _class(n: str) -> str:
-    """SQL for the class of a set's size; a class spans four hundredths."""
-    return f"cast(floor(ln({n}) / ln(1.04D)) as int)"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, s, own = None, np.empty(0, _U), 0
+        for b in _slices(batches):
+            places, sets = [], []
+            for i, (text, sid) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                if text != last:
+                    last, s = text, shingles(text, k)
+                    own = set_id(s, clash) if len(s) else 0
+                if len(s) and own == sid:  # else another row with the same id
+                    places.append(i)
+                    sets.append(s.view(np.int64))
+            if places:
+                lengths = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+                held = [c.take(pa.array(places)) for c in b.columns[1:]]
+                yield pa.record_batch([*held, pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(sets)))], names=["sid", "copies", "h", "block", "asking", "s"])
 
+    return found.select("text", "sid", "copies", "h", "block", "asking").mapInArrow(run, "sid long, copies long, h long, block int, asking int, s array<long>")
 
-def _alive(matrix: DataFrame, percent: int) -> DataFrame:
-    """The matrix rows of sets that can still link: (token, sid, n, g, k, ks) with the set's size class k
-    and the classes ks with which it shares as many tokens as a link of such sizes needs.
 
-    A token counts for a class if a set of another group and of that class has it.
+def links_in(members: list[np.ndarray], askers: list[np.ndarray], own: bool, percent: int = PERCENT) -> np.ndarray | None:
+    """Which of the members and the opening askers (rows) link with which member (columns); ``own``: members with
+    one another too. None if no set opens the group.
+
+    Askers below the bound that the members' token union sets have no link; their rows stay empty.
     """
-    rows = matrix.withColumn("k", F.expr(_class("n")))
-    held = rows.groupBy("token", "k").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).groupBy("token").agg(F.collect_list(F.struct("k", "g0", "g1")).alias("held"))
-    seen = rows.join(held, "token")
-    others = F.transform(F.filter("held", lambda h: (F.abs(h["k"] - F.col("k")) <= 7) & ((h["g0"] != F.col("g")) | (h["g1"] != F.col("g")))), lambda h: h["k"])
-    met = seen.select("sid", "n", F.explode(others).alias("o")).groupBy("sid", "n", "o").agg(F.count(F.lit(1)).alias("c"))
-    low, high = "cast(floor(pow(1.04D, o)) as bigint)", "cast(ceil(pow(1.04D, o + 1)) as bigint)"
-    low, high = f"greatest({low}, ({percent} * n + 99) div 100)", f"least({high}, 100 * n div {percent})"
-    # the need is least at an end of the class; one less makes up for rounding in between
-    need = F.expr(f"least({_needed('n', low, percent)}, {_needed('n', high, percent)}) - 1")
-    fine = met.where(f"{low} <= {high}").where(F.col("c") >= need).groupBy("sid").agg(F.collect_list("o").alias("ks"))
-    return written(rows.join(fine, "sid"), "alive")
-
-
-def _within(apart: DataFrame, grouped: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the queries with those members of their groups with which they share as many prefix tokens as
-    a link needs. Members lie in blocks of about ``MEMBERS`` with their prefixes; a query reads block by
-    block, and only members that it may link with leave a block."""
-    opened = apart.select("h").distinct()
-    members = grouped.select(F.col("sid").alias("b"), F.col("g").alias("h"), F.col("n").alias("nb")).join(opened, "h")
-    wanted = members.select(F.col("b").alias("sid")).union(apart.select("a")).distinct()
-    prefixes = written(shared.join(wanted, "sid").groupBy("sid").agg(F.collect_set("token").alias("pre")), "prefixes")
-    sizes = members.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("blocks"))
-    held = members.join(prefixes.withColumnRenamed("sid", "b"), "b").join(sizes, "h")
-    blocks = held.groupBy("h", F.pmod(F.xxhash64("b"), "blocks").alias("block")).agg(F.collect_list(F.struct("b", "nb", "pre")).alias("ms"))
-    asks = apart.join(prefixes.withColumnRenamed("sid", "a"), "a")
-    fits = f"100 * n >= {percent} * m.nb AND 100 * m.nb >= {percent} * n"
-    near = F.expr(f"transform(filter(ms, m -> m.b <> middle AND {fits} AND size(array_intersect(pre, m.pre)) >= {_needed('n', 'm.nb', percent)}), m -> m.b)")
-    return asks.join(blocks, "h").select("a", F.explode(near).alias("b"))
+    k, many = len(members), len(members) + len(askers)
+    sizes = np.array([len(x) for x in (*members, *askers)], np.int64)
+    row = np.repeat(np.arange(many), sizes)
+    tokens, at = np.unique(np.concatenate([*members, *askers]), return_inverse=True)
+    union = np.zeros(len(tokens), bool)
+    union[at[: int(sizes[:k].sum())]] = True
+    bound = np.bincount(row, weights=union[at], minlength=many).astype(np.int64)
+    opens = 100 * bound >= percent * np.maximum(sizes, sizes[:k].min())
+    opens[:k] = True
+    if not (own and k > 1) and not opens[k:].any():
+        return None
+    # columns of the matrix: tokens that two of the sets have
+    keep = opens[row]
+    row, at = row[keep], at[keep]
+    keep = (np.bincount(at, minlength=len(tokens)) > 1)[at] & union[at]
+    row, at = row[keep], at[keep]
+    _, at = np.unique(at, return_inverse=True)
+    width = int(at.max()) + 1 if len(at) else 0
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    first = 0 if own else k
+    common = np.zeros((many - first, k), np.float32)
+    step = max(1, CELLS // many)
+    for start in range(0, width, step):
+        part = slice(*np.searchsorted(at, [start, start + step]))
+        cells = np.zeros((many, min(step, width - start)), np.float32)
+        cells[row[part], at[part] - start] = 1
+        common += cells[first:] @ cells[:k].T
+    common = common.astype(np.int64)
+    linked = np.zeros((many, k), bool)
+    linked[first:] = 100 * common >= percent * (sizes[first:, None] + sizes[None, :k] - common)
+    linked[~opens] = False
+    linked[np.arange(k), np.arange(k)] = False
+    return linked
+
+
+def star_edges(linked: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """(first, other) places for each component of a matrix of links with its first k rows."""
+    out: list[tuple[int, int]] = []
+    seen = ~linked.any(1)
+    seen[:k] &= ~linked.any(0)
+    for v in range(k):
+        if seen[v]:
+            continue
+        seen[v] = True
+        edge = np.array([v])
+        while len(edge):
+            new = linked[:, edge].any(1)
+            new[:k] |= linked[edge].any(0)
+            asking = np.flatnonzero(new[k:] & ~seen[k:]) + k
+            if len(asking):
+                new[:k] |= linked[asking].any(0)
+            new &= ~seen
+            seen |= new
+            out += [(v, x) for x in np.flatnonzero(new).tolist()]
+            edge = np.flatnonzero(new[:k])
+    return out
+
+
+def _met(roles: DataFrame, percent: int) -> DataFrame:
+    """(kind, a, b): kind 0, a set's links with the copies in a meeting; kind 1, an edge of a component."""
+
+    def verdict(members: dict, askers: dict, own: bool) -> Iterator[tuple[int, int, int]]:
+        if not members or not (askers or own and len(members) > 1):
+            return
+        linked = links_in([s for _, s in members.values()], [s for _, s in askers.values()], own, percent)
+        if linked is None or not linked.any():
+            return
+        k, sids = len(members), [*members, *askers]
+        copies = np.array([c for c, _ in (*members.values(), *askers.values())], float)
+        counts = linked @ copies[:k]
+        counts[:k] += copies[k:] @ linked[k:]
+        yield from ((0, sids[i], int(counts[i])) for i in np.flatnonzero(counts).tolist())
+        yield from ((1, sids[a], sids[b]) for a, b in star_edges(linked, k))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple | None = None
+        sides: tuple[dict, dict] = ({}, {})
+        out: list[tuple[int, int, int]] = []
+
+        def batch() -> pa.RecordBatch:
+            kinds, a, b = zip(*out, strict=True) if out else ((), (), ())
+            out.clear()
+            return pa.record_batch([pa.array(kinds, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["kind", "a", "b"])
+
+        for x in batches:
+            sid, copies, h, block, asking = (c.to_pylist() for c in x.columns[:5])
+            ends, flat = x.column(5).offsets.to_numpy(), x.column(5).values.to_numpy()
+            for i in range(x.num_rows):
+                if (h[i], block[i]) != now:
+                    if now is not None:
+                        out += verdict(*sides, now[1] == 0)
+                    now, sides = (h[i], block[i]), ({}, {})
+                    if len(out) >= 20_000:
+                        yield batch()
+                sides[asking[i]][sid[i]] = (copies[i], flat[ends[i] : ends[i + 1]].copy())
+        if now is not None:
+            out += verdict(*sides, now[1] == 0)
+        yield batch()
+
+    dealt = roles.repartition("h", "block").sortWithinPartitions("h", "block", "asking", "sid")
+    return dealt.mapInArrow(run, "kind int, a long, b long")
 
 
 def similar_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document."""
+    """(doc_id, n_shingles, component_id, n_links) of every document; ``n_links``: the other rows linked directly."""
     spark = docs.sparkSession
     profile = written(_profile(docs, k), "profile")
-    sets = profile.where("kind = 0").select(F.col("id").alias("doc_id"), "n", "hi", "lo", "mh")
-    reps = written(
-        sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("mh").alias("mh")).withColumnRenamed("hi", "sid"),
-        "reps",
-    )
-    small = reps.select("sid", "lo", "rep", "n")
-
-    # 2. groups: each min-hash bucket is compared with its first set
-    keyed = reps.select("sid", "n", F.posexplode("mh").alias("i", "m"))
-    firsts = keyed.groupBy("i", "m").agg(F.min(F.struct("sid", "n")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1").select("i", "m", "f.*")
-    firsts = written(firsts.select("i", "m", F.col("sid").alias("a"), F.col("n").alias("na")), "firsts")
-    stars = keyed.join(firsts, ["i", "m"]).where(F.col("sid") != F.col("a")).where(_fits("n", "na", percent)).select("a", F.col("sid").alias("b"))
-    links = _verified(docs, small, stars, k, percent)
-    grouped = _labelled(small, links)
-
-    # 3. the matrix of prefix tokens and groups
-    total = reps.agg(F.sum(F.col("n") * (100 - percent) / 100 + ROOM + 1)).first()[0] or 0
+    sets = profile.where("kind = 0").select(F.col("id").alias("doc_id"), "n", "hi", "lo", "mins")
+    distinct = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("mins").alias("mins"))
+    distinct = written(distinct, "distinct-sets")
+    twice = [r["hi"] for r in distinct.groupBy("hi").count().where("count > 1").select("hi").limit(MAX_CLASHES + 1).collect()]
+    if len(twice) > MAX_CLASHES:
+        raise RuntimeError("too many keys with equal first halves")
+    clash = frozenset(twice)
+    reps = distinct.withColumn("sid", F.when(F.col("hi").isin(twice), F.col("lo")).otherwise(F.col("hi")) if twice else F.col("hi"))
+    if clash and reps.groupBy("sid").count().where("count > 1").count():
+        raise RuntimeError("set numbers are not unique")
+    grouped = written(_grouped(reps), "groups")
+
+    total = distinct.agg(F.sum(F.col("n") * (100 - percent) / 100 + ROOM + 1)).first()[0] or 0
     top = profile.where("kind = 1").groupBy(F.col("id").alias("token")).agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "token").limit(HOT_TOKENS).toPandas()
     tokens, counts = top["token"].to_numpy(np.int64).view(_U), top["c"].to_numpy(np.int64)
     order = np.argsort(tokens)
-    shared = written(_shared(_matrix_rows(docs.where("doc_id IS NOT NULL"), (tokens[order], counts[order]), k, percent), max(spark.sparkContext.defaultParallelism, int(total // PART_ROWS) + 1)), "shared")
-    matrix, rows, joined = _across(shared, grouped)
-    for _ in range(TURNS):
-        if joined <= WIDE * max(rows, 1):
-            break
-        more = _verified(docs, small, _led(matrix, percent), k, percent)
-        links = written(links.unionByName(more), "links-so-far")
-        grouped = _labelled(small, links)
-        matrix, rows, joined = _across(shared, grouped)
-    matrix = _alive(matrix, percent)
-    ranges = grouped.groupBy("g").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("least"), F.max("n").alias("most"))
-    matrix = matrix.join(ranges.select("g", "members"), "g")
-    # the set whose tokens the most sets have stands for its group at first
-    sizes = matrix.groupBy("g", "sid", "n", "k").agg((F.sum("r") / F.expr(f"greatest(1, n - ({percent} * n + 99) div 100 + {ROOM})")).alias("s"))
-    middle = F.max_by("sid", F.struct("s", "sid"))
-    middles = sizes.groupBy(F.col("g").alias("h")).agg(middle.alias("any"))
-    alike = sizes.groupBy(F.col("g").alias("h"), "k").agg(middle.alias("alike"))
-    columns = matrix.groupBy("token", "g").agg(F.collect_set("k").alias("kh"), F.first("members").alias("size")).withColumnRenamed("g", "h")
-    columns = columns.join(ranges.select(F.col("g").alias("h"), "least", "most"), "h")
-    low, high = f"greatest(least, ({percent} * n + 99) div 100)", f"least(most, 100 * n div {percent})"
-    # of two groups the smaller one asks: each of its sets meets the larger group's tokens
-    met = matrix.join(columns, "token").where("members < size OR members = size AND g < h").where(f"{low} <= {high}").where(F.arrays_overlap("ks", "kh"))
-    need = F.expr(f"greatest(1, least({_needed('n', low, percent)}, {_needed('n', high, percent)}) - 1)")
-    opened = written(met.groupBy("sid", "n", "k", "g", "h", "least", "most").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= need).join(middles, "h").join(alike, ["h", "k"], "left").select("sid", "n", "h", F.coalesce("alike", "any").alias("middle")), "opened")
-
-    # 4. a qualifying group's middle, then its other members
-    more = _verified(docs, small, opened.select(F.col("sid").alias("a"), F.col("middle").alias("b")), k, percent)
-    links = written(links.unionByName(more), "links-so-far")
-    now = _labelled(small, links).select("sid", F.col("g").alias("q"))
-    apart = opened.join(now, "sid").join(now.select(F.col("sid").alias("h"), F.col("q").alias("r")), "h").where("q <> r")
-    rest = _within(written(apart.select("h", F.col("sid").alias("a"), "n", "middle"), "apart"), grouped, shared, percent)
-    last = _verified(docs, small, rest, k, percent)
-    final = _labelled(small, links.unionByName(last))
-
-    least = final.groupBy("g").agg(F.min("rep").alias("component_id"))
-    known = final.join(least, "g").select(F.col("sid").alias("hi"), "lo", "component_id")
-    out = sets.join(known, ["hi", "lo"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    parts = max(spark.sparkContext.defaultParallelism, int(total // PART_ROWS) + 1)
+    rows = _matrix_rows(docs.where("doc_id IS NOT NULL"), (tokens[order], counts[order]), clash, k, percent)
+    shared = written(_shared(rows, parts), "shared")
+    roles = _roles(grouped, _asks(shared, grouped, percent))
+    found = written(_met(_with_sets(docs, roles, clash, k), percent), "links")
+
+    linked = found.where("kind = 0").groupBy(F.col("a").alias("sid")).agg(F.sum("b").alias("links"))
+    component = connected_components(found.where("kind = 1").select("a", "b")).withColumnRenamed("id", "sid")
+    final = written(grouped.join(component, "sid", "left").withColumn("component", F.coalesce("component", "sid")).join(linked, "sid", "left"), "final")
+    least = final.groupBy("component").agg(F.min("rep").alias("component_id"))
+    known = final.join(least, "component").select("hi", "lo", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("others"))
+    out = sets.select("doc_id", "n", "hi", "lo").join(known, ["hi", "lo"], "left")
+    has_id = F.col("doc_id").isNotNull()
+    return out.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(has_id, F.coalesce("component_id", "doc_id")).alias("component_id"),
+        F.when(has_id, F.coalesce("others", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
+    )
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,6 +95,7 @@ def sets_by_hand(text, k=5):
 def groups_by_hand(rows):
     sets = {n: sets_by_hand(t) for n, (_, t) in enumerate(rows)}
     root = {n: n for n in sets}
+    links = dict.fromkeys(sets, 0)
 
     def find(n):
         while root[n] != n:
@@ -106,10 +107,12 @@ def groups_by_hand(rows):
             i = len(sets[a] & sets[b])
             if sets[a] and 100 * i >= 80 * len(sets[a] | sets[b]):
                 root[find(a)] = find(b)
+                links[a] += 1
+                links[b] += 1
     best = {}
     for n, (i, _) in enumerate(rows):
         best[find(n)] = min(best.get(find(n), i), i)
-    return sorted((i, len(sets[n]), best[find(n)]) for n, (i, _) in enumerate(rows))
+    return sorted((i, len(sets[n]), best[find(n)], links[n]) for n, (i, _) in enumerate(rows))
 
 
 def families(rng, many):
@@ -131,15 +134,33 @@ def test_jaccard_join(spark, monkeypatch):
     want = groups_by_hand(rows)
     docs = docs_of(spark, texts, range(100, 100 + len(texts)))
     assert sorted(map(tuple, jaccard.similar_groups(docs).collect())) == want
-    monkeypatch.setattr(jaccard, "WIDE", 0)
-    monkeypatch.setattr(jaccard, "MIN_HASHES", 1)
+    # no set follows another, and groups, meetings and matrices of a few sets
+    monkeypatch.setattr(jaccard, "ALIKE", 2.0)
     assert sorted(map(tuple, jaccard.similar_groups(docs).collect())) == want
+    monkeypatch.setattr(jaccard, "ALIKE", 0.1)
+    monkeypatch.setattr(jaccard, "GROUP_TOKENS", 150)
+    assert sorted(map(tuple, jaccard.similar_groups(docs).collect())) == want
+
+
+def test_links_of_a_meeting_by_hand(monkeypatch):
+    rng = np.random.default_rng(2)
+    for cells in (8, 1 << 20):
+        monkeypatch.setattr(jaccard, "CELLS", cells)
+        base = rng.integers(0, 2**63, 60).astype(np.uint64)
+        some = [np.unique(np.concatenate([base[rng.random(60) < 0.92], rng.integers(0, 2**63, int(rng.integers(0, 9))).astype(np.uint64)])) for _ in range(30)]
+        for k in (1, 12):
+            got = jaccard.links_in(some[:k], some[k:], True)
+            for i, a in enumerate(some):
+                for j in range(k):
+                    assert got[i, j] == (i != j and 100 * len(np.intersect1d(a, some[j])) >= 80 * len(np.union1d(a, some[j])))
+            assert not jaccard.links_in(some[:k], some[k:], False)[:k].any()
+    assert jaccard.links_in(some[:1], [some[1] + np.uint64(1)], False) is None
 
 
 def test_jaccard_edges(spark):
     assert jaccard.similar_groups(docs_of(spark, [])).count() == 0
     got = sorted(map(tuple, jaccard.similar_groups(docs_of(spark, ["a b", "A  B", None, "a b", ""], [5, 3, 9, None, 1])).collect()), key=str)
-    assert got == sorted([(5, 1, 3), (3, 1, 3), (9, 0, 9), (None, 1, None), (1, 0, 1)], key=str)
+    assert got == sorted([(5, 1, 3, 1), (3, 1, 3, 1), (9, 0, 9, 0), (None, 1, None, 0), (1, 0, 1, 0)], key=str)
 
 
 def test_needed_overlap_never_exceeds_the_shared_prefix(spark):
