@@ -3,8 +3,15 @@
 A merge list decides how far to the right a token can depend on its text. A rule (x, y) is pre-empted
 only by an earlier rule whose left part is a right-hand part of y, which in turn only by a still
 earlier one, and so on; the longest such chain, in symbols, is a sufficient lookahead. The encoder
-keeps a window of at most that many symbols beyond a block, encodes the window, emits the tokens
-that end before the lookahead, and goes on behind them: a word of any length takes constant memory.
+keeps a window of at most that many symbols beyond a block, merges the window, emits the tokens
+that end before the lookahead, and goes on behind them: a word of any length takes constant memory. The end
+of a word stands for all the lookahead there is, so the last window of a word is emitted whole; most words
+have one window only. ``encode_words`` takes a step of many words at a time: each round holds one window of
+each word that is not yet through.
+
+Texts are read in pieces of about ``PIECE`` characters, cut before white space; a piece's words, ids and
+decoded text are let go before the next batch of pieces, and hashes, counts and the decoder's state are all
+that a document keeps, however long it is. Only a run without white space is held whole.
 
 Texts are prepared as the tokenizer file says: special tokens are found in the raw text, the rest is
 NFC-normalised, lower-cased character by character, cut into words by the file's pattern, and each
@@ -14,7 +21,8 @@ The decoder takes ids one by one: it turns each into bytes, and a UTF-8 state ma
 text that is complete. Files without a decoder have their token strings joined by spaces.
 
 Defined cases: null text is the empty text and has no ids; lone surrogates can't occur in Spark
-strings; repeated rows each get a row; an empty table gives an empty result.
+strings; repeated rows and null ids each get a row; an empty table gives an empty result; other columns are
+left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,10 +52,15 @@ TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a worker remembers, in each of two generations.
 REMEMBERED = 150_000
-#: Bytes of the longest word that is encoded together with others, and documents looked up together.
-BULK = 32
+#: Symbols of the widest window that is merged together with others, a step of every window at a time.
+TABLE = 48
+#: Characters of a piece of text on average, and of the pieces that are looked up together.
+PIECE = 1 << 16
+TOGETHER_CHARS = 1 << 20
+#: Documents that packing looks up together.
 TOGETHER = 400
 _NO_RANK = 1 << 40
+_CUT = re.compile("[ \t\n\r][0-9A-Za-z]")
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
@@ -114,26 +127,18 @@ class Bpe:
         self._result = np.array([self.ids[a + b] for a, b in merges], np.int64)
         self._base = np.array([self.ids[c] for c in self.alphabet], np.int64)
         self._base_end = np.array([self.ids[c + self.suffix] for c in self.alphabet], np.int64)
+        self._name = {i: s for s, i in self.ids.items()}
+        self._length = np.zeros(max(self.token) + 1, np.int64)
+        for s, i in self.ids.items():
+            self._length[i] = len(s.removesuffix(self.suffix) if self.suffix else s)
         self.lookahead = sufficient_lookahead(merges, lambda t: len(t.removesuffix(self.suffix) if self.suffix else t))
         self.block = max(256, self.lookahead)
+        #: What went through the transducer: windows, their widest, and tokens given out.
+        self.windows = self.widest = self.emitted = 0
 
     def _merged(self, symbols: list[str]) -> list[str]:
-        """The merges in rank order, leftmost first: short lists by scanning their pairs, others on a
-        linked list with a heap of pairs."""
+        """The merges in rank order, leftmost first, on a linked list with a heap of pairs."""
         n = len(symbols)
-        if n < 20:
-            rank = self.rank.get
-            s = list(symbols)
-            while len(s) > 1:
-                best, at = None, 0
-                for i in range(len(s) - 1):
-                    r = rank((s[i], s[i + 1]))
-                    if r is not None and (best is None or r < best):
-                        best, at = r, i
-                if best is None:
-                    break
-                s[at : at + 2] = [s[at] + s[at + 1]]
-            return s
         s: list[str | None] = list(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         rank = self.rank
@@ -178,38 +183,59 @@ class Bpe:
         yield from self._merged(window)
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, number of ids of each word) of many words: those of up to ``BULK`` bytes are merged
-        together, a step of every word at a time, longer ones go through the stream."""
+        """(ids, number of ids of each word) of many words, all through the transducer: in each round every
+        word that is not through merges its next window and gives out its stable tokens."""
         raws = [w.encode("utf-8") for w in words]
-        lengths = np.array([len(r) for r in raws], np.int64)
-        short = np.flatnonzero(lengths <= BULK)
-        short = short[np.argsort(lengths[short], kind="stable")]
-        others = [i for i in np.flatnonzero(lengths > BULK).tolist() if words[i] not in self.special]
-        found = [(i, [self.special[w]]) for i, w in enumerate(words) if w in self.special]
-        short = short[[words[i] not in self.special for i in short.tolist()]] if found else short
-        found += [(i, [self.ids[t] for t in self.word_tokens(words[i])]) for i in others]
+        sizes = np.array([len(r) for r in raws], np.int64)
         counts = np.zeros(len(words), np.int64)
-        parts = []
-        for at in range(0, len(short), 20_000):
-            which = short[at : at + 20_000]
-            ids, counts[which] = self._merged_all([raws[i] for i in which.tolist()], lengths[which])
-            parts.append((which, ids))
-        for i, ids in found:
-            counts[i] = len(ids)
-            parts.append((np.array([i]), np.array(ids, np.int64)))
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # words, their ids before, numbers of ids, ids
+        if self.special and not self.special.keys().isdisjoint(words):
+            which = np.array([i for i, w in enumerate(words) if w in self.special], np.int64)
+            counts[which] = 1
+            parts.append((which, np.zeros(len(which), np.int64), np.ones(len(which), np.int64), np.array([self.special[words[i]] for i in which.tolist()], np.int64)))
+        live = np.flatnonzero((counts == 0) & (sizes > 0))
+        live = live[np.argsort(sizes[live], kind="stable")]
+        at, span = np.zeros(len(words), np.int64), self.block + self.lookahead
+        while len(live):
+            for few in np.split(live, range(20_000, len(live), 20_000)):
+                widths = np.minimum(sizes[few] - at[few], span)
+                ended = at[few] + widths == sizes[few]
+                self.windows += len(few)
+                self.widest = max(self.widest, int(widths.max()))
+                ids, n = self._merge_windows([raws[i][a : a + w] for i, a, w in zip(few.tolist(), at[few].tolist(), widths.tolist(), strict=True)], widths, ended)
+                if not ended.all():
+                    # a token is stable if all that it can depend on lies in the window
+                    own = np.repeat(np.arange(len(few)), n)
+                    ends = np.cumsum(self._length[ids])
+                    ends -= np.repeat(np.concatenate([[0], ends])[np.cumsum(n) - n], n)
+                    stable = ended[own] | (ends <= (widths - self.lookahead)[own])
+                    ids, n = ids[stable], np.bincount(own[stable], minlength=len(few))
+                    at[few] += np.bincount(own[stable], weights=self._length[ids], minlength=len(few)).astype(np.int64)
+                parts.append((few, counts[few], n, ids))
+                counts[few] += n
+                at[few] = np.where(ended, sizes[few], at[few])
+                self.emitted += len(ids)
+            live = live[at[live] < sizes[live]]
         starts = np.cumsum(counts) - counts
         flat = np.zeros(int(counts.sum()), np.int32)
-        for which, ids in parts:
-            flat[ranges(starts[which], counts[which])] = ids
+        for which, before, n, ids in parts:
+            flat[ranges(starts[which] + before, n)] = ids
         return flat, counts
 
-    def _merged_all(self, raws: list[bytes], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each word's best-ranked, leftmost pair is merged in each step until no word has one."""
+    def _merge_windows(self, raws: list[bytes], lengths: np.ndarray, ended: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each) of windows in rising order of width; ``ended`` ones close their word."""
+        narrow = int(np.searchsorted(lengths, TABLE, "right"))
+        ids, counts = self._merged_all(raws[:narrow], lengths[:narrow], ended[:narrow]) if narrow else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        rest = [[self.ids[s] for s in self._merged([*map(self.alphabet.__getitem__, r[:-1]), self.alphabet[r[-1]] + self.suffix * bool(e)])] for r, e in zip(raws[narrow:], ended[narrow:], strict=True)]
+        return np.concatenate([ids, *(np.array(x, np.int64) for x in rest)]), np.concatenate([counts, np.array([len(x) for x in rest], np.int64)])
+
+    def _merged_all(self, raws: list[bytes], lengths: np.ndarray, ended: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each window's best-ranked, leftmost pair is merged in each step until no window has one."""
         width = int(lengths.max())
         cells = np.array(raws, dtype=f"S{width}").view(np.uint8).reshape(len(raws), width)
         m = self._base[cells].astype(np.int64)
         rows = np.arange(len(raws))
-        m[rows, lengths - 1] = self._base_end[cells[rows, lengths - 1]]
+        m[rows[ended], lengths[ended] - 1] = self._base_end[cells[rows[ended], lengths[ended] - 1]]
         m[np.arange(width) >= lengths[:, None]] = -1
         done, left = m.copy(), lengths.copy()
         if width > 1:
@@ -251,12 +277,6 @@ class Bpe:
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return self.word.findall(text.lower())
 
-    def word_tokens(self, word: str) -> Iterable[str]:
-        """A word's tokens: at once where the whole word lies within the lookahead, else as a stream."""
-        if len(word) < 64 and word.isascii() and word.isprintable():
-            return self._merged([*word[:-1], word[-1] + self.suffix])
-        return self.stream(self._symbols(word))
-
     def text_words(self, text: str | None) -> list[str]:
         """The normalised words and the special tokens of a text, in order."""
         if not text:
@@ -265,12 +285,22 @@ class Bpe:
             return [w for part in self.cut.split(text) for w in ([part] if part in self.special else self.words(part))]
         return self.words(text)
 
+    def pieces(self, text: str | None, size: int = PIECE) -> Iterator[str]:
+        """A text in pieces that have its words between them: cut before white space that an ASCII letter or
+        digit follows, which neither a word, a special token nor a normalisation reaches across."""
+        text, at = text or "", 0
+        while len(text) - at > size and (cut := _CUT.search(text, at + size)):
+            yield text[at : cut.start()]
+            at = cut.start()
+        yield text[at:] if at else text
+
     def encode(self, text: str | None) -> Iterator[int]:
-        for w in self.text_words(text):
-            if w in self.special:
-                yield self.special[w]
-            else:
-                yield from (self.ids[t] for t in self.word_tokens(w))
+        for piece in self.pieces(text):
+            for w in self.text_words(piece):
+                if w in self.special:
+                    yield self.special[w]
+                else:
+                    yield from (self.ids[t] for t in self.stream(self._symbols(w)))
 
     def raw_of(self, token_id: int) -> bytes | None:
         """The bytes a token stands for: its text if the file has no decoder, else what its characters encode."""
@@ -414,6 +444,52 @@ def _lexicon(path: str) -> Lexicon:
     return Lexicon(bpe, bpe.encode_words)
 
 
+class Digest:
+    """What a document keeps between its pieces: the number of ids, two running hashes and the decoder."""
+
+    def __init__(self, bpe: Bpe, decimal: list[str]) -> None:
+        self.n, self._decimal, self._decoder = 0, decimal, bpe.decoder()
+        self._ids, self._text = hashlib.sha256(), hashlib.sha256()
+
+    def feed(self, ids: list[int]) -> None:
+        if ids:
+            self._ids.update((" " * bool(self.n) + " ".join([self._decimal[i] for i in ids])).encode())
+            self._text.update(self._decoder.feed_all(ids).encode("utf-8"))
+            self.n += len(ids)
+
+    def finish(self) -> tuple[int, str, str]:
+        self._text.update(self._decoder.finish().encode("utf-8"))
+        return self.n, self._ids.hexdigest(), self._text.hexdigest()
+
+
+def digests(lexicon: Lexicon, texts: Iterable[str | None], size: int = PIECE, together: int = TOGETHER_CHARS) -> Iterator[tuple[int, str, str]]:
+    """(number of ids, hash of the ids, hash of the decoded text) of each text, in order; never more than
+    ``together`` characters and a piece are held as words and ids."""
+    bpe = lexicon.bpe
+    decimal = [str(i) for i in range(max(bpe.token) + 1)]
+    held: list[tuple[Digest, list[str], bool]] = []
+    chars = 0
+
+    def through() -> Iterator[tuple[int, str, str]]:
+        for (digest, _, last), ids in zip(held, lexicon.look_up([words for _, words, _ in held]), strict=True):
+            digest.feed(ids.tolist())
+            if last:
+                yield digest.finish()
+        held.clear()
+
+    for text in texts:
+        digest, before = Digest(bpe, decimal), None
+        for piece in itertools.chain(bpe.pieces(text, size), [None]):
+            if before is not None:
+                held.append((digest, bpe.text_words(before), piece is None))
+                chars += len(before) + 64
+                if chars >= together:
+                    yield from through()
+                    chars = 0
+            before = piece
+    yield from through()
+
+
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes each whole text and decodes its ids.
 
@@ -422,20 +498,10 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon = _lexicon(path)
-        bpe = lexicon.bpe
-        decimal = [str(i) for i in range(max(bpe.token) + 1)]
         for b in batches:
-            for at in range(0, len(b), TOGETHER):
-                part = b.iloc[at : at + TOGETHER]
-                counts, ids, texts = [], [], []
-                for found in lexicon.look_up([bpe.text_words(t) for t in part["text"]]):
-                    found = found.tolist()
-                    decoder = bpe.decoder()
-                    text = decoder.feed_all(found) + decoder.finish()
-                    counts.append(len(found))
-                    ids.append(hashlib.sha256(" ".join([decimal[i] for i in found]).encode()).hexdigest())
-                    texts.append(hashlib.sha256(text.encode("utf-8")).hexdigest())
-                yield pd.DataFrame({"doc_id": part["doc_id"], "n_tokens": counts, "ids_sha256": ids, "decoded_sha256": texts})
+            out = pd.DataFrame(digests(lexicon, b["text"]), columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            out.insert(0, "doc_id", b["doc_id"].to_numpy())
+            yield out
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -18,11 +18,13 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a new local one."""
+    """The folder of ``spark.checkpoint.dir``; only where that is unset on one machine (tests) a new local one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         ctx = spark.sparkContext
         have = ctx._jsc.sc().getCheckpointDir()
+        if not have.isDefined() and (not ctx.master.startswith("local") or ctx.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = have.get() if have.isDefined() else tempfile.mkdtemp(prefix="gaugeline-")
         spark.conf.set("spark.checkpoint.dir", path)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -52,6 +54,23 @@ def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if rows <= limit else df
 
 
+def quoted(name: str) -> str:
+    """A column's name as one identifier, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns_of(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.select(*[quoted(c) for c in names])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` has it, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

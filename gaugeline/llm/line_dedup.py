@@ -1,7 +1,7 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
 State is a list of runs on each level. A run is a Parquet table sorted by (h1, h2) that holds, for
-each line key, the number of documents and the largest document id seen in its rows. A new batch is
+each line key, the number of documents, the largest document id seen in its rows, and whether it is hot. A new batch is
 counted, merge-anti-joined with the live runs (which drops the keys that a run settles already) and
 the rest is added as a level-0 run; when a level holds ``fanout`` runs they are merged into one run of
 the next level. Every step is a DataFrame expression, aggregate or join; no Python runs on rows.
@@ -9,7 +9,7 @@ the next level. Every step is a DataFrame expression, aggregate or join; no Pyth
 Defined cases: null or empty text is one empty line; a line key is the line stripped of ASCII white
 space with A-Z lowered; keys of fewer than ``min_chars`` code points never count; each row counts as
 one document, and rows that share a document id hold a key together; a null id ranks below all ids;
-an empty table gives an empty result; other columns pass through untouched.
+an empty table gives an empty result; other columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,14 +20,15 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import BLANKS, read, scratch_path, written
+from gaugeline.llm.common import BLANKS, fresh, quoted, read, scratch_path, written
 
 MIN_CHARS = 20
 MIN_DOCS = 3
 BATCHES = 4
 FANOUT = 3
-#: A key is hot when it holds more than one in this many of all counted lines, so fewer keys than
-#: this are hot, which bounds the broadcast whatever the input's size.
+#: A key is hot in a batch when it holds more than one in this many of the batch's lines, so fewer keys than
+#: this are, and fewer than ``batches`` times as many altogether: that bounds the broadcast whatever the
+#: input's size. A key that is hot in no batch holds at most one in this many of all lines.
 HOT_SHARE = 2_000
 _NO_ID = -(2**63)
 
@@ -69,14 +70,25 @@ def hashed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def counted(lines: DataFrame) -> DataFrame:
-    """(h1, h2, n_docs, max_did) of exploded lines; map-side sums keep a hot key to a row a task."""
-    once = lines.select("did", F.explode(F.array_distinct(F.transform("lines", lambda s: F.struct(s["h1"].alias("h1"), s["h2"].alias("h2"))))).alias("k"))
-    return once.groupBy(F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2")).agg(F.count(F.lit(1)).alias("n_docs"), F.max("did").alias("max_did"))
+    """(h1, h2, n_docs, max_did, hot) of a batch; map-side sums keep a hot key to a row a task.
+
+    A key counts once for each document, and with each of its lines for the test of its heat; only documents
+    that repeat a line send their lines a second time.
+    """
+    total = lines.select(F.sum(F.size("lines"))).first()[0] or 0
+    keys = F.transform("lines", lambda s: F.struct(s["h1"].alias("h1"), s["h2"].alias("h2")))
+    each = lines.select("did", keys.alias("all"), F.array_distinct(keys).alias("own"))
+    repeats = F.size("all") > F.size("own")
+    first = F.transform("own", lambda s: F.struct(s["h1"].alias("h1"), s["h2"].alias("h2"), F.lit(1).alias("doc"), F.when(repeats, 0).otherwise(1).alias("line")))
+    again = F.transform("all", lambda s: F.struct(s["h1"].alias("h1"), s["h2"].alias("h2"), F.lit(0).alias("doc"), F.lit(1).alias("line")))
+    rows = each.select("did", F.explode(F.when(repeats, F.concat(first, again)).otherwise(first)).alias("k"))
+    sums = rows.groupBy(F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2")).agg(F.sum("k.doc").alias("n_docs"), F.max("did").alias("max_did"), F.sum("k.line").alias("n"))
+    return sums.select("h1", "h2", "n_docs", "max_did", (F.col("n") > total / HOT_SHARE).alias("hot"))
 
 
 def _merge(runs: list[DataFrame]) -> DataFrame:
     both = functools.reduce(DataFrame.unionByName, runs)
-    return both.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_did").alias("max_did"))
+    return both.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_did").alias("max_did"), F.max("hot").alias("hot"))
 
 
 @dataclass
@@ -90,20 +102,21 @@ class LineRuns:
 
     def _write(self, run: DataFrame) -> DataFrame:
         path = scratch_path(self.spark, "line-run")
-        run.select("h1", "h2", "n_docs", "max_did").sortWithinPartitions("h1", "h2").write.parquet(path)
-        return self.spark.read.schema("h1 long, h2 long, n_docs long, max_did long").parquet(path)
+        run.select("h1", "h2", "n_docs", "max_did", "hot").sortWithinPartitions("h1", "h2").write.parquet(path)
+        return self.spark.read.schema("h1 long, h2 long, n_docs long, max_did long, hot boolean").parquet(path)
 
     def runs(self) -> list[DataFrame]:
         return [r for level in self.levels for r in level]
 
     def unsettled(self, batch: DataFrame) -> DataFrame:
         """The batch's counts without the keys that a live run settles already: at least ``min_docs``
-        documents there and no smaller id. One merge anti-join with each run; runs are few (fanout a level)."""
+        documents there and no smaller id. Keys that are hot in the batch stay, so that their heat is known.
+        One merge anti-join with each run; runs are few (fanout a level)."""
         for i, run in enumerate(self.runs()):
             settled = run.where(F.col("n_docs") >= self.min_docs).select(*[F.col(c).alias(f"{c}_{i}") for c in ("h1", "h2", "max_did")])
             batch = batch.join(
                 settled.hint("merge"),
-                (batch["h1"] == settled[f"h1_{i}"]) & (batch["h2"] == settled[f"h2_{i}"]) & (settled[f"max_did_{i}"] >= batch["max_did"]),
+                ~batch["hot"] & (batch["h1"] == settled[f"h1_{i}"]) & (batch["h2"] == settled[f"h2_{i}"]) & (settled[f"max_did_{i}"] >= batch["max_did"]),
                 "left_anti",
             )
         return batch
@@ -133,14 +146,12 @@ class LineRuns:
 def dropped_lines(lines: DataFrame, totals: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(did, th, drops: positions) of the lines to drop, from hashed lines and merged runs.
 
-    Hot keys, fewer than ``HOT_SHARE`` by the pigeonhole principle, are matched by broadcast; the
+    Hot keys, whose number is bounded by the pigeonhole principle, are matched by broadcast; the
     others hold at most a ``HOT_SHARE``-th of the lines each and are matched by a shuffled join.
     """
     repeated = written(totals.where(F.col("n_docs") >= min_docs), "line-repeats")
-    total = lines.select(F.sum(F.size("lines"))).first()[0] or 0
-    is_hot = F.col("n_docs") > total / HOT_SHARE
-    hot = F.broadcast(repeated.where(is_hot).select("h1", "h2", "max_did"))
-    cold = repeated.where(~is_hot).select("h1", "h2", "max_did")
+    hot = F.broadcast(repeated.where("hot").select("h1", "h2", "max_did"))
+    cold = repeated.where("NOT hot").select("h1", "h2", "max_did")
     each = lines.select("did", "th", F.explode("lines").alias("l")).select("did", "th", "l.pos", "l.h1", "l.h2")
     later = F.col("did") < F.col("max_did")
     by_hot = each.join(hot, ["h1", "h2"]).where(later)
@@ -150,12 +161,13 @@ def dropped_lines(lines: DataFrame, totals: DataFrame, min_docs: int = MIN_DOCS)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """``docs`` with ``text`` cut to its kept lines, and ``_n_lines`` and ``_n_dropped``.
+    """``docs`` with ``text`` cut to its kept lines, and ``_n_lines`` and ``_n_dropped`` (``count_names``).
 
     The rows enter the runs in ``batches`` batches by a hash of the id. Whole texts are shuffled once,
     for the last join on the document.
     """
     spark = docs.sparkSession
+    n_lines, n_dropped = count_names(docs)
     hashed = hashed_lines(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("did"), F.lit(batches)).cast("int"))
     lines = written(hashed, "lines", "batch")
     runs = LineRuns(spark, fanout, min_docs)
@@ -164,7 +176,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     drops = dropped_lines(lines, runs.merged(), min_docs)
     rest = [c for c in docs.columns if c != "text"]
     held = docs.select(
-        *[F.col(c).alias(f"c_{c}") for c in rest],
+        *[F.col(quoted(c)).alias(f"c_{c}") for c in rest],
         F.col("text").isNull().alias("_null"),
         split_lines(F.col("text")).alias("_lines"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("did"),
@@ -175,12 +187,17 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     kept = F.when(F.col("drops").isNull(), F.col("_lines")).otherwise(F.transform(keep, lambda i: F.get("_lines", i)))
     text = F.when(~F.col("_null"), F.array_join(kept, "\n"))
     return held.select(
-        *[(text if c == "text" else F.col(f"c_{c}")).alias(c) for c in docs.columns],
-        F.size("_lines").cast("long").alias("_n_lines"),
-        F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("_n_dropped"),
+        *[(text if c == "text" else F.col(quoted(f"c_{c}"))).alias(c) for c in docs.columns],
+        F.size("_lines").cast("long").alias(n_lines),
+        F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias(n_dropped),
     )
 
 
+def count_names(docs: DataFrame) -> tuple[str, str]:
+    """The names of the two columns that ``dedup_lines`` adds: with more underscores where the documents have them."""
+    return fresh(docs, "_n_lines"), fresh(docs, "_n_dropped")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(

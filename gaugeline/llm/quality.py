@@ -3,8 +3,9 @@
 Labelled documents give pairs (better, worse); the weights minimise the mean logistic loss of the
 pairs' feature differences plus an L2 term. A document's utility is the weighted sum of its features.
 The cut is the quantile of the training utilities at the share of low-quality labels, and a logistic
-fit of the training labels on the utility's distance from that cut gives a score that equals
-``threshold`` at the cut.
+fit of the training labels, smoothed by one document of each label, on the utility's distance from that cut
+gives a score that equals ``threshold`` at the cut and keeps the ranking, even where the labels are told
+apart without a fault.
 
 Features are shares of byte classes, word lengths and repetition of words and lines, from the whole
 text alone. Training reads at most ``MAX_TRAINING_ROWS`` labelled rows, those with the smallest hash
@@ -12,7 +13,8 @@ of their id; scoring reads every row.
 
 Defined cases: null text scores as the empty text; a document with conflicting labels, or a null
 label or id, does not train; repeated rows each get a row; without both labels in training every
-score is the share of label 1 (0.5 without labels); other columns are ignored.
+score is the share of label 1 (0.5 without labels); equal texts have equal scores; texts of any length
+count whole; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import held_out, read
+from gaugeline.llm.common import fresh, held_out, read
 
 #: Bound of the training sample, whatever the size of the labels table.
 MAX_TRAINING_ROWS = 6_000
@@ -91,7 +93,7 @@ class BradleyTerry:
         if self.constant is not None:
             return np.full(len(x), self.constant)
         z = self.slope * (self.utility(x) - self.cut) + np.log(self.threshold / (1 - self.threshold))
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        return np.where(z >= 0, 1, np.exp(np.minimum(z, 0))) / (1 + np.exp(-np.abs(z)))
 
 
 def _descend(diff: np.ndarray, l2: float, rounds: int = 25) -> np.ndarray:
@@ -125,11 +127,20 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, threshold: float = THR
     u = z @ w
     cut = float(np.quantile(u, len(bad) / len(y)))
     # the slope alone is fitted: the score at the cut stays at the threshold
-    base, slope = np.log(threshold / (1 - threshold)), 1.0
-    grid = np.geomspace(0.02, 20, 80)
-    ll = [np.mean(np.logaddexp(0, -(2 * y - 1) * (s * (u - cut) + base))) for s in grid]
-    slope = float(grid[int(np.argmin(ll))])
-    return BradleyTerry(mean, scale, w, cut, slope, threshold)
+    base = np.log(threshold / (1 - threshold))
+    target = np.where(y == 1, (len(good) + 1) / (len(good) + 2), 1 / (len(bad) + 2))
+    spread = max(float(np.abs(u - cut).mean()), 1e-9)
+
+    def loss(slope: float) -> float:
+        z = slope * (u - cut) + base
+        return float(np.mean(np.logaddexp(0, z) - target * z))
+
+    # the loss is convex in the slope and rises again, since no target is 0 or 1
+    low, high = 0.0, 100 / spread
+    for _ in range(100):
+        a, b = low + (high - low) * 0.382, low + (high - low) * 0.618
+        low, high = (low, b) if loss(a) <= loss(b) else (a, high)
+    return BradleyTerry(mean, scale, w, cut, (low + high) / 2, threshold)
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = MAX_TRAINING_ROWS, threshold: float = THRESHOLD) -> BradleyTerry:
@@ -168,10 +179,12 @@ def score_column(model: BradleyTerry):
     return score
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, rows: int = MAX_TRAINING_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``_quality``; the threshold is where it should be cut."""
+def score_documents(docs: DataFrame, labels: DataFrame, rows: int = MAX_TRAINING_ROWS, threshold: float = THRESHOLD, name: str = "_quality") -> DataFrame:
+    """``docs`` with the score as column ``name``; the threshold is where it should be cut."""
+    if name != fresh(docs, name):
+        raise ValueError(f"the documents have a column {name}; name another one")
     model = train(docs, labels, rows, threshold)
-    return docs.withColumn("_quality", score_column(model)(F.col("text")))
+    return docs.withColumn(name, score_column(model)(F.col("text")))
 
 
 def op9_quality_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:

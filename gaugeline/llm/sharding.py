@@ -1,13 +1,14 @@
-"""Hierarchical weighted hash tree: region, rack and shard are drawn level by level.
+"""Hierarchical weighted hash tree: region, rack and shard levels, each decided by weighted hash draws.
 
-Every child of a node draws ``-ln(u) / weight`` with ``u`` from an MD5 of the node's path and the
-key; the smallest draw wins. A child's draw does not depend on its siblings, so a changed weight
-moves keys only into (or out of) the child whose weight changed, and below that only within its
-subtree. A further shard opens its own region when the last one is full, and then takes rows only
-into itself.
+A shard draws ``-ln(u) / weight`` with ``u`` from a hash of its path and the key. A rack draws the smallest of
+its shards' draws, a region the smallest of its racks', which is a draw by the sum of their weights; a key
+descends to the smallest draw of each level. No draw depends on a sibling, so a changed weight moves keys
+only into or out of the subtree it lies in, and a further shard, wherever it joins, takes keys only into
+itself.
 
 Defined cases: null text has size 1 and the CRC of no bytes; a null id is the key ``null``; repeated
-rows each get a slot; an empty table gives an empty result; other columns are left out.
+rows each get a slot, and rows equal in id and text are told apart by nothing, so any of them may have any of
+their slots; texts of any length count whole; an empty table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ RACKS_PER_REGION = 2
 SHARDS_PER_RACK = 2
 #: Hexadecimal digits of the slot bucket: 4096 buckets in each shard share the numbering work.
 BUCKET_DIGITS = 3
-_DRAW_DIGITS = 13
 
 
 @dataclass(frozen=True)
@@ -54,23 +54,23 @@ def shard_tree(weights: Sequence[float], racks: int = RACKS_PER_REGION, per_rack
     return Node("", sum(t.weight for t in tops), None, tuple(tops))
 
 
-def _draw(key: Column, node: Node) -> Column:
-    digits = F.substring(F.md5(F.concat(F.lit(node.path + ":"), key).cast("binary")), 1, _DRAW_DIGITS)
-    u = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(16**_DRAW_DIGITS)
-    return -F.ln(u) / node.weight
+def _leaf(key: Column, node: Node) -> Column:
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(node.path), key), 11).cast("double") + 0.5) / float(1 << 53)
+    return F.struct((-F.ln(u) / node.weight).alias("d"), F.lit(node.shard).alias("i"))
+
+
+def draw(key: Column, node: Node) -> Column:
+    """(d, i): the draw of a subtree and the shard that the descent from it ends in; equal draws go to the
+    smaller shard number."""
+    if node.shard is not None:
+        return _leaf(key, node)
+    below = [draw(key, c) for c in node.children]
+    return below[0] if len(below) == 1 else F.array_min(F.array(*below))
 
 
 def descend(key: Column, tree: Node) -> Column:
-    """The shard of a key: the smallest draw at each level, equal draws to the earlier child."""
-    if tree.shard is not None:
-        return F.lit(tree.shard)
-    if len(tree.children) == 1:
-        return descend(key, tree.children[0])
-    best = F.array_min(F.array(*[F.struct(_draw(key, c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(tree.children)]))["i"]
-    out = None
-    for i, child in enumerate(tree.children):
-        out = F.when(best == i, descend(key, child)) if out is None else out.when(best == i, descend(key, child))
-    return out
+    """The shard of a key."""
+    return draw(key, tree)["i"]
 
 
 def assign(df: DataFrame, key: Column, tree: Node, name: str = "shard") -> DataFrame:

@@ -15,8 +15,9 @@ regression over the examples' own leave-one-out votes turns them into calibrated
 
 Defined cases: null text scores as the empty text; a text without any word of any example gets the
 share of toxic ones among such examples; words that no example holds have no part in a cosine;
-conflicting or null labels do not train; repeated rows each get a row; without both labels every score
-is the share of label 1 (0.5 without labels).
+conflicting or null labels do not train; repeated rows each get a row; of examples with equal cosines those
+with the smaller ids vote; without both labels every score is the share of label 1 (0.5 without labels);
+texts of any length count whole; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import held_out, read
+from gaugeline.llm.common import fresh, held_out, read
 from gaugeline.llm.quality import sample_ids
 
 #: Bound of the examples of each class, whatever the size of the labels table.
@@ -350,8 +351,10 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = MAX_EXAMPLES, k: i
     return ToxicityModel(vocabulary, got["lid"].tolist(), counts, y, float(base if base is not None else 0.5), df, n, k)
 
 
-def judged(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """``docs`` with ``_toxicity``: score, and evidence as an array of (doc_id, cosine, toxic)."""
+def judged(docs: DataFrame, model: ToxicityModel, name: str = "_toxicity") -> DataFrame:
+    """``docs`` with column ``name``: score, and evidence as an array of (doc_id, cosine, toxic)."""
+    if name != fresh(docs, name):
+        raise ValueError(f"the documents have a column {name}; name another one")
 
     @F.pandas_udf("struct<score: double, evidence: array<struct<doc_id: long, cosine: double, toxic: int>>>")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -362,11 +365,11 @@ def judged(docs: DataFrame, model: ToxicityModel) -> DataFrame:
                 "evidence": [[{"doc_id": d, "cosine": c, "toxic": y} for d, c, y in e] for _, e in out],
             })
 
-    return docs.withColumn("_toxicity", judge(F.col("text")))
+    return docs.withColumn(name, judge(F.col("text")))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, examples: int = MAX_EXAMPLES, k: int = NEIGHBOURS) -> DataFrame:
-    return judged(docs, train(docs, labels, examples, k))
+def score_documents(docs: DataFrame, labels: DataFrame, examples: int = MAX_EXAMPLES, k: int = NEIGHBOURS, name: str = "_toxicity") -> DataFrame:
+    return judged(docs, train(docs, labels, examples, k), name)
 
 
 def op1_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -238,6 +238,23 @@ def test_stream_and_bulk_agree(tok):
     assert b.decoder().feed_all([10**7]) == ""
 
 
+def test_tokens_come_from_the_transducer_in_bounded_memory(tok):
+    b = bpe.Bpe(bpe.vocabulary_path())
+    rng = random.Random(9)
+    texts = [prose(rng, 200), "a" * 20_000 + " tail", None, "", "ΣΑΣ " + "é" * 5_000, " <|endoftext|> ".join(prose(rng, 40) for _ in range(30))]
+    lexicon = bpe.Lexicon(b, b.encode_words)
+    got = list(bpe.digests(lexicon, texts, size=100, together=700))
+    for t, (n, ids_hash, text_hash) in zip(texts, got, strict=True):
+        ids = tok.encode(t or "", add_special_tokens=False).ids
+        assert (n, ids_hash) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert text_hash == hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+        assert "".join(b.pieces(t, 100)) == (t or "")
+        assert [w for p in b.pieces(t, 100) for w in b.text_words(p)] == b.text_words(t)
+    words = {w for t in texts for w in b.text_words(t)} - set(b.special)
+    assert b.emitted == sum(len(tok.encode(w, add_special_tokens=False).ids) for w in words)  # each word once, no other way in
+    assert b.widest <= b.block + b.lookahead and b.windows > len(words)
+
+
 def test_memory_of_words_turns_over(tok):
     b = bpe.Bpe(bpe.vocabulary_path())
     lexicon = bpe.Lexicon(b, b.encode_words, size=5)
@@ -454,6 +471,27 @@ def test_sharding(spark):
         r = out[out["doc_id"] == i].iloc[0]
         assert (r["size"], r["text_crc32"]) == (len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))
     assert sharding.shard_documents(docs_of(spark, [])).count() == 0
+    again = sharding.shard_documents(docs_of(spark, ["same"] * 5 + ["other"], [7] * 5 + [None])).toPandas()
+    assert again["shard"][again["doc_id"] == 7].nunique() == 1 and all(sorted(g["slot"]) == list(range(len(g))) for _, g in again.groupby("shard"))
+
+
+def test_sharding_by_hand(spark):
+    """Each level's draws, worked out anew: the smallest of the shards' exponential draws wins."""
+    tree = sharding.shard_tree([1.0, 2.0, 0.5, 1.0, 3.0])
+    leaves = [(f"{i // 4}/{i // 2 % 2}/{i}", w) for i, w in enumerate([1.0, 2.0, 0.5, 1.0, 3.0])]
+    keys = spark.range(500).select(F.col("id").cast("string").alias("k"))
+    hashes = [F.xxhash64(F.lit(p), F.col("k")).alias(f"h{i}") for i, (p, _) in enumerate(leaves)]
+    for r in keys.select("k", *hashes, sharding.descend(F.col("k"), tree).alias("s")).collect():
+        draws = [-np.log((((r[f"h{i}"] % 2**64) >> 11) + 0.5) / 2**53) / w for i, (_, w) in enumerate(leaves)]
+        assert r["s"] == int(np.argmin(draws))
+
+
+def test_a_further_shard_takes_rows_only_into_itself(spark):
+    keys = spark.range(1500).select(F.col("id").cast("string").alias("k"))
+    rows = keys.select(*[sharding.descend(F.col("k"), sharding.shard_tree([1.0] * n)).alias(f"n{n}") for n in range(1, 41)]).collect()
+    for r in rows:
+        for n in range(1, 40):
+            assert r[f"n{n + 1}"] in (r[f"n{n}"], n)
 
 
 def test_sharding_confines_movement(spark):
@@ -481,9 +519,25 @@ def test_merkle_audit(spark):
     rows = [(i // 70, i, f"record {i}".encode()) for i in range(300)] + [(9, None, b"x")]
     other = [(f, k, b"rot" if k in (3, 150) else c) for f, k, c in rows if k != 299]
     a, b = (warc.leaves(spark.createDataFrame(r, "f int, k long, c binary"), "f", "k", "c") for r in (rows, other))
-    bad = warc.audit(a, b, fanout=4).collect()
+    bad = warc.audit(a, b).collect()
     assert sorted(r["key"] for r in bad) == [3, 150, 299]
     assert next(r for r in bad if r["key"] == 299)["replica_offset"] is None
-    assert warc.audit(a, a, fanout=4).count() == 0
+    assert warc.audit(a, a).count() == 0
     empty = warc.leaves(spark.createDataFrame([], "f int, k long, c binary"), "f", "k", "c")
     assert warc.audit(empty, empty).count() == 0
+    assert warc.audit(a, empty).count() == 301
+
+
+def test_merkle_audit_of_lost_added_and_equal_records(spark):
+    rows = [(i // 50, i, f"record {i}".encode()) for i in range(200)] + [(9, None, b"x"), (9, None, b"y"), (9, 7, b"p"), (9, 7, b"q"), (9, 7, b"q")]
+    other = [r for r in rows if r[1] not in (10, 60)] + [(1, 1000, b"added"), (9, 7, b"q")]
+    other = [r for r in other if r != (9, None, b"x")]
+    other.remove((9, 7, b"p"))
+    a, b = (warc.leaves(spark.createDataFrame(r, "f int, k long, c binary"), "f", "k", "c", fanout=4) for r in (rows, other))
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    got = [(str(r["key"]), r["hash"], r["replica_hash"]) for r in warc.audit(a, b).collect()]
+    want = [("10", sha(b"record 10"), None), ("60", sha(b"record 60"), None), ("1000", None, sha(b"added")), ("None", sha(b"x"), None), ("7", sha(b"p"), sha(b"q"))]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    # a lost record leaves every node but its own path as it was
+    low = warc.tree(a)[0].join(warc.tree(b)[0].select(F.col("file"), F.col("starts"), F.col("hash").alias("other")), ["file", "starts"]).where("file = 0 AND hash <> other")
+    assert low.count() <= 1
