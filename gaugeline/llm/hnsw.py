@@ -1,24 +1,27 @@
 """Embedding near-duplicates: hierarchical navigable small-world graphs per shard.
 
 Equal vectors of a label are one vertex with a multiplicity. A label's vertices are dealt into shards
-of bounded size, each shard builds a layered graph, and every vertex queries every shard of its label.
-A meeting of a query block and a shard audits its beam first: queries and synthetic neighbours are
-compared with an exact scan, and the beam is doubled until the recall reaches the target. Queries
-whose beam is mostly hits, as in large groups of copies, are answered by an exact scan of the shard.
-Found pairs are verified by cosine in double precision; a meeting sends one count for each query and
-the links of a spanning forest, so large groups never become all their pairs.
+of bounded size, each shard builds a layered graph, and every vertex queries every shard of its label: a
+shard's members come first in its task, then the queries stream past the graph in blocks, so no graph leaves
+its task. Before the first query a shard audits its beam: noisy copies of some vertices, and some vertices,
+are compared with an exact scan, and the beam is doubled until the mean share of what each probe finds reaches
+the target. A query whose hits fill half its beam, as in large groups of copies, is widened to the
+whole shard, which is an exact scan; such probes don't count in an audit. Found pairs are verified by cosine in
+double precision; a meeting sends one count for each query and the links of a spanning forest, so large groups
+never become all their pairs. The lowest audited recall of a label's shards is returned beside its rows.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, and rows
 with a null label or id, link with nothing and are kept as they are; vectors of different lengths
-never link; repeated ids are rows of one vertex if their vectors are equal.
+never link; repeated ids are rows of one vertex if their vectors are equal; an empty table gives an empty
+result; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
 
-import pickle
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +29,9 @@ from gaugeline.llm.common import read, written
 from gaugeline.llm.components import connected_components
 
 MIN_COSINE = 0.93
-#: Vertices in a shard on average, and queries in a block: the bounds of a task's memory.
-SHARD = 8_192
-QUERIES = 4_096
+#: Vertices in a shard on average, and queries that meet its graph at a time: the bounds of a task's memory.
+SHARD = 16_384
+QUERIES = 2_048
 DEGREE = 24
 BUILD_BEAM = 48
 FIRST_BEAM = 48
@@ -194,11 +197,10 @@ class Hnsw:
         return np.where(ids >= 0, self.order[np.maximum(ids, 0)], -1), sims
 
 
-def range_search(graph: Hnsw, x: np.ndarray, q: np.ndarray, least: float, seed: int = 9) -> tuple[list[np.ndarray], int]:
-    """For each query the places of the vectors with cosine >= ``least`` that its beam meets, and the beam.
+def audited_beam(graph: Hnsw, x: np.ndarray, least: float, seed: int = 9) -> tuple[int, float]:
+    """The beam with which probes find what an exact scan finds, and the mean share that they found.
 
-    The beam doubles until an audit of some queries and of noisy copies of some vectors finds
-    ``MIN_RECALL`` of what an exact scan finds; at the shard's size it is an exact scan itself.
+    The beam doubles until that share reaches ``MIN_RECALL``; at the shard's size it is an exact scan.
     """
     rng = np.random.default_rng(seed)
     some = x[rng.choice(len(x), min(AUDITS, len(x)), replace=False)]
@@ -207,19 +209,24 @@ def range_search(graph: Hnsw, x: np.ndarray, q: np.ndarray, least: float, seed:
     norm = np.linalg.norm(noise, axis=1, keepdims=True)
     cos = rng.uniform(least, 1, (len(some), 1))
     probes = np.where(norm > 1e-9, cos * some + np.sqrt(1 - cos**2) * noise / np.maximum(norm, 1e-9), some)
-    probes = np.concatenate([probes, q[rng.choice(len(q), min(AUDITS, len(q)), replace=False)]])
+    probes = np.concatenate([probes, x[rng.choice(len(x), min(AUDITS, len(x)), replace=False)]])
     truth = probes @ x.T >= least
     beam = FIRST_BEAM
     while beam < len(x):
-        hits = _hits(graph, x, probes, least, beam)
-        if sum(truth[i, h].sum() for i, h in enumerate(hits)) >= MIN_RECALL * truth.sum():
-            break
+        hits, scanned = range_search(graph, x, probes, least, beam)
+        shares = [truth[i, h].sum() / truth[i].sum() for i, h in enumerate(hits) if truth[i].any() and not scanned[i]]
+        recall = float(np.mean(shares)) if shares else 1.0
+        if recall >= MIN_RECALL:
+            return beam, recall
         beam *= 2
-    return _hits(graph, x, q, least, beam), beam
+    return len(x), 1.0
 
 
-def _hits(graph: Hnsw, x: np.ndarray, q: np.ndarray, least: float, beam: int) -> list[np.ndarray]:
+def range_search(graph: Hnsw, x: np.ndarray, q: np.ndarray, least: float, beam: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each query the places of the vectors with cosine >= ``least`` that it meets, and whether it was
+    widened to the whole shard."""
     out: list[np.ndarray] = []
+    scanned = np.zeros(len(q), bool)
     for at in range(0, len(q), 256):
         part = q[at : at + 256]
         ids, sims = graph.search(part, beam)
@@ -227,10 +234,11 @@ def _hits(graph: Hnsw, x: np.ndarray, q: np.ndarray, least: float, beam: int) ->
         for i in range(len(part)):
             if beam >= len(x) or near[i].sum() > ids.shape[1] // 2:
                 out.append(np.flatnonzero(x @ part[i] >= least))
+                scanned[at + i] = True
             else:
                 cand = ids[i][near[i]]
                 out.append(cand[x[cand] @ part[i] >= least])
-    return out
+    return out, scanned
 
 
 def _local_links(query_ids: np.ndarray, hits: list[np.ndarray], ids: np.ndarray) -> list[tuple[int, int]]:
@@ -255,7 +263,7 @@ def _local_links(query_ids: np.ndarray, hits: list[np.ndarray], ids: np.ndarray)
 
 
 def near_duplicates(vectors: DataFrame, least: float = MIN_COSINE, shard: int = SHARD, queries: int = QUERIES) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of a table (vec_id, embedding, label)."""
+    """(vec_id, n_links, component_id, kept, audited_recall) of a table (vec_id, embedding, label)."""
     x = F.col("embedding").cast("array<double>")
     usable = (
         F.col("vec_id").isNotNull() & F.col("label").isNotNull() & x.isNotNull() & (F.size(x) > 0)
@@ -268,41 +276,16 @@ def near_duplicates(vectors: DataFrame, least: float = MIN_COSINE, shard: int =
         rows.where("usable").groupBy("key").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min_by("label", "vec_id").alias("label"), F.min_by("x", "vec_id").alias("x")),
         "vertices",
     )
-    part = F.concat_ws(":", F.size("x"), "label")
-    vertices = vertices.withColumn("part", part)
-    sizes = vertices.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards"), F.ceil(F.count(F.lit(1)) / queries).cast("int").alias("blocks"))
-    dealt = written(vertices.join(sizes, "part").select("part", "shards", "blocks", "id", "copies", "x", F.pmod(F.xxhash64("id"), "shards").alias("shard"), F.pmod(F.xxhash64("id", F.lit(1)), "blocks").alias("block")), "dealt")
-
-    def build(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("id")
-        v = np.array(g["x"].tolist(), float)
-        v /= np.abs(v).max(1, keepdims=True)
-        v /= np.linalg.norm(v, axis=1, keepdims=True)
-        blob = pickle.dumps((Hnsw(v), v, g["id"].to_numpy(np.int64), g["copies"].to_numpy(np.int64)))
-        return pd.DataFrame({"part": [g["part"].iloc[0]], "shard": [g["shard"].iloc[0]], "blocks": [g["blocks"].iloc[0]], "graph": [blob]})
-
-    graphs = written(dealt.groupBy("part", "shard").applyInPandas(build, "part string, shard long, blocks int, graph binary"), "graphs")
-
-    def meet(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(q) and len(g):
-            graph, x, ids, copies = pickle.loads(g["graph"].iloc[0])  # noqa: S301 - own shared folder
-            v = np.array(q["x"].tolist(), float)
-            v /= np.abs(v).max(1, keepdims=True)
-            v /= np.linalg.norm(v, axis=1, keepdims=True)
-            mine = q["id"].to_numpy(np.int64)
-            hits, _ = range_search(graph, x, v, least)
-            hits = [h[ids[h] != i] for h, i in zip(hits, mine, strict=True)]
-            out += [("n", int(i), int(copies[h].sum())) for h, i in zip(hits, mine, strict=True) if len(h)]
-            out += [("l", a, b) for a, b in _local_links(mine, hits, ids)]
-        return pd.DataFrame(out, columns=["kind", "a", "b"])
-
-    asks = dealt.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).select(F.concat_ws("|", "shard", "block", "part").alias("meet"), "id", "x")
-    held = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(F.concat_ws("|", "shard", "block", "part").alias("meet"), "graph")
-    found = written(asks.groupBy("meet").cogroup(held.groupBy("meet")).applyInPandas(meet, "kind string, a long, b long"), "near")
-    counts = found.where("kind = 'n'").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("others"))
-    groups = connected_components(found.where("kind = 'l'").select("a", "b"))
-    known = vertices.select("key", "id", "copies").join(counts, "id", "left").join(groups, "id", "left")
+    vertices = vertices.withColumn("part", F.concat_ws(":", F.size("x"), "label"))
+    sizes = vertices.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards"))
+    dealt = vertices.join(sizes, "part")
+    members = dealt.select("part", F.pmod(F.xxhash64("id"), "shards").cast("int").alias("shard"), F.lit(0).alias("asking"), "id", "copies", "x")
+    asking = dealt.select("part", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.lit(1).alias("asking"), "id", "copies", "x")
+    found = written(_meetings(members.unionByName(asking), least, queries), "near")
+    counts = found.where("kind = 0").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("others"))
+    audits = found.where("kind = 2").groupBy("part").agg((F.min("b") / 1e6).alias("audited_recall"))
+    groups = connected_components(found.where("kind = 1").select("a", "b"))
+    known = vertices.select("key", "id", "copies", "part").join(counts, "id", "left").join(groups, "id", "left").join(audits, "part", "left")
     out = rows.select("vec_id", "key").join(known, "key", "left")
     component = F.coalesce("component", "id", "vec_id")
     return out.select(
@@ -310,8 +293,73 @@ def near_duplicates(vectors: DataFrame, least: float = MIN_COSINE, shard: int =
         F.coalesce(F.col("others") + F.col("copies") - 1, F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
         component.alias("component_id"),
         F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"),
+        "audited_recall",
     )
 
 
+def _meetings(roles: DataFrame, least: float, block: int) -> DataFrame:
+    """(kind, part, a, b): kind 0, a query's links with the copies in a shard; kind 1, a link of the spanning
+    forest; kind 2, a shard's audited recall in millionths (b) and beam (a)."""
+
+    class Shard:
+        def __init__(self, part: str) -> None:
+            self.part, self.graph = part, None
+            self.ids: list[int] = []
+            self.copies: list[int] = []
+            self.x: list[np.ndarray] = []
+            self.asked: list[tuple[int, np.ndarray]] = []
+
+        def answers(self) -> Iterator[tuple[int, str, int, int]]:
+            if not self.ids or not self.asked:
+                return
+            if self.graph is None:
+                self.at, self.n = np.array(self.ids, np.int64), np.array(self.copies, np.int64)
+                self.v = _unit(np.array(self.x))
+                self.x.clear()
+                self.graph = Hnsw(self.v)
+                self.beam, recall = audited_beam(self.graph, self.v, least)
+                yield 2, self.part, self.beam, int(recall * 1e6)
+            mine = np.array([i for i, _ in self.asked], np.int64)
+            hits, _ = range_search(self.graph, self.v, _unit(np.array([x for _, x in self.asked])), least, self.beam)
+            self.asked.clear()
+            hits = [h[self.at[h] != i] for h, i in zip(hits, mine, strict=True)]
+            yield from ((0, self.part, int(i), int(self.n[h].sum())) for h, i in zip(hits, mine, strict=True) if len(h))
+            yield from ((1, self.part, a, b) for a, b in _local_links(mine, hits, self.at))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, Shard("")
+
+        def batch() -> pa.RecordBatch:
+            out = list(held.answers())
+            kind, part, a, b = zip(*out, strict=True) if out else ((), (), (), ())
+            return pa.record_batch([pa.array(kind, pa.int32()), pa.array(part, pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["kind", "part", "a", "b"])
+
+        for rows in batches:
+            part, shard, asking, ids, copies = (c.to_pylist() for c in rows.columns[:5])
+            ends, flat = rows.column(5).offsets.to_numpy(), rows.column(5).values.to_numpy(zero_copy_only=False)
+            for i in range(rows.num_rows):
+                if (part[i], shard[i]) != now:
+                    yield batch()
+                    now, held = (part[i], shard[i]), Shard(part[i])
+                x = flat[ends[i] : ends[i + 1]].astype(float)
+                if asking[i]:
+                    held.asked.append((ids[i], x))
+                    if len(held.asked) >= block:
+                        yield batch()
+                else:
+                    held.ids.append(ids[i])
+                    held.copies.append(copies[i])
+                    held.x.append(x)
+        yield batch()
+
+    dealt = roles.repartition("part", "shard").sortWithinPartitions("part", "shard", "asking", "id")
+    return dealt.mapInArrow(run, "kind int, part string, a long, b long")
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    v = v / np.abs(v).max(1, keepdims=True)  # first by the largest component, whose square may overflow
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
 def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "embeddings"))

@@ -316,6 +316,25 @@ def test_vafile(spark):
         want += [(q, r + 1, int(i), int(s[i])) for r, i in enumerate(order)]
     assert got == sorted(want)
     assert vafile.top_k(ints.where("id < 0"), ints.where("id < 0")).count() == 0
+    clash = vectors_of(spark, rows).withColumn("cells", F.lit("x")).withColumn("a.b", F.lit(1)).withColumn("id", F.lit(-1))
+    again = vafile.integer_vectors(clash, "vec_id", "embedding")
+    assert sorted(map(tuple, vafile.top_k(again, again.where("id % 100 = 0")).collect())) == got
+    twice = ints.where("id IN (100, 101, 102)").unionByName(ints.where("id IN (101, 102)"))
+    assert [r["vec_id"] for r in vafile.top_k(twice, twice.where("id = 100")).orderBy("rank").collect()] in ([101, 101, 102, 102], [102, 102, 101, 101])
+
+
+def test_only_cells_meet_and_few_exact_vectors_are_read(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, x.tolist(), 0) for i, x in enumerate(rng.normal(size=(3000, 16)))]
+    ints = vafile.integer_vectors(vectors_of(spark, rows), "vec_id", "embedding")
+    read = []
+    real = vafile._scores
+    monkeypatch.setattr(vafile, "_scores", lambda c, v, q: (read.append(c.count()), real(c, v, q))[1])
+    assert vafile.top_k(ints, ints.where("id % 100 = 0"), candidates=500).count() == 300
+    assert sum(read) < 0.05 * 30 * 3000
+    bounds = vafile.cell_bounds(ints)
+    file = vafile.approximation_file(ints.withColumn("rid", F.col("id")), bounds)
+    assert file.columns == ["rid", "id", "dim", "cells"] and {len(r["cells"]) for r in file.select("cells").collect()} == {16}
     few = ints.where("id IN (100, 101)")
     assert few.count() == 2 and vafile.top_k(few, few.where("id = 100")).count() == 1
 
@@ -350,6 +369,9 @@ def test_hnsw(spark):
     for i in range(5000, 5005):
         assert tuple(out.loc[i, ["n_links", "component_id", "kept"]]) == (0, i, True)
     assert (out["kept"] == (out.index == out["component_id"])).all()
+    assert out.loc[: len(v) - 1, "audited_recall"].between(hnsw.MIN_RECALL, 1).all() and out.loc[5000:, "audited_recall"].isna().all()
+    twice = hnsw.near_duplicates(vectors_of(spark, rows[:30] + rows[:30] + [(0, rows[1][1], labels[0])]).withColumn("a.b", F.lit(1)).withColumn("part", F.lit("x"))).toPandas()
+    assert len(twice) == 61 and (twice["n_links"] >= 1).sum() >= 60
 
 
 def test_hnsw_empty(spark):
