@@ -49,6 +49,21 @@ def iso_time(ns: Column) -> Column:
     return F.concat(whole, F.when(F.pmod(ns, F.lit(NANOS)) == 0, "").otherwise(F.concat(F.lit("."), F.regexp_replace(rest, "0+$", ""))), F.lit("Z"))
 
 
+def unix_seconds(ns: Column) -> Column:
+    """Nanoseconds since 1970 as seconds."""
+    return ns.cast("double") / float(NANOS)
+
+
+def absolute_seconds(relative: Column, start_ns: Column) -> Column:
+    """Seconds since 1970 of a stamp that counts from the recording's start."""
+    return unix_seconds(start_ns) + relative
+
+
+def utc_offset_minutes(zone: Column, summer: Column) -> Column:
+    """The whole offset from UTC: that of the zone and that of summer time."""
+    return zone + summer
+
+
 def absolute_label(ms: Column) -> Column:
     """Milliseconds since 1970 as YYYY-MM-DD HH:MM:SS.mmm in UTC, by calendar arithmetic."""
     day = F.floor(ms / 86_400_000)

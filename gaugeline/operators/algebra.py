@@ -143,3 +143,61 @@ def references(names: Sequence[str], catalog: Sequence[str]) -> dict[str, str]:
 
 def safe_name(name: str) -> str:
     return re.sub(r"\W", "_", name)
+
+
+class Series:
+    """A series table with Python's operators: with a number on its own stamps, with another series on the
+    common ones. ``df`` is the table."""
+
+    def __init__(self, df: DataFrame) -> None:
+        self.df = df
+
+    def _with(self, op: str, other: Series | float, swapped: bool = False) -> Series:
+        if isinstance(other, Series):
+            return Series(combine(self.df, other.df, op))
+        return Series(scalar(self.df, op, other, swapped))
+
+    def __add__(self, other: Series | float) -> Series:
+        return self._with("add", other)
+
+    def __sub__(self, other: Series | float) -> Series:
+        return self._with("sub", other)
+
+    def __mul__(self, other: Series | float) -> Series:
+        return self._with("mul", other)
+
+    def __truediv__(self, other: Series | float) -> Series:
+        return self._with("div", other)
+
+    def __radd__(self, other: float) -> Series:
+        return self._with("add", other, True)
+
+    def __rsub__(self, other: float) -> Series:
+        return self._with("sub", other, True)
+
+    def __rmul__(self, other: float) -> Series:
+        return self._with("mul", other, True)
+
+    def __rtruediv__(self, other: float) -> Series:
+        return self._with("div", other, True)
+
+    def __neg__(self) -> Series:
+        return Series(neg(self.df))
+
+    def __lt__(self, other: Series | float) -> Series:
+        return self._with("lt", other)
+
+    def __le__(self, other: Series | float) -> Series:
+        return self._with("le", other)
+
+    def __gt__(self, other: Series | float) -> Series:
+        return self._with("gt", other)
+
+    def __ge__(self, other: Series | float) -> Series:
+        return self._with("ge", other)
+
+    def equal(self, other: Series | float) -> Series:
+        return self._with("eq", other)
+
+    def differs(self, other: Series | float) -> Series:
+        return self._with("ne", other)

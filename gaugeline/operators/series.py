@@ -22,11 +22,22 @@ class StructureError(ValueError):
     """Series, channels or files that do not fit together."""
 
 
-def series_from(df: DataFrame, key: Column, t: Column, v: Column, order: Sequence[Column | str], valid: Column | None = None) -> DataFrame:
-    """A series table; ``order`` makes the sample order of each key unique."""
+def series_from(df: DataFrame, key: Column, t: Column, v: Column, order: Sequence[Column | str], valid: Column | None = None, bucket: float | None = None) -> DataFrame:
+    """A series table; ``order`` makes the sample order of each key unique.
+
+    With ``bucket`` (seconds), for orders that begin with the time, no task holds a whole series: each bucket
+    of time numbers its own samples, behind the running sum of the counts of the buckets before it.
+    """
     rows = df.select(key.alias("series"), t.cast("double").alias("t"), v.alias("v"), (F.lit(True) if valid is None else valid).alias("valid"), *[F.col(o).alias(f"_o{i}") if isinstance(o, str) else o.alias(f"_o{i}") for i, o in enumerate(order)])
     w = W.partitionBy("series").orderBy(*[f"_o{i}" for i in range(len(order))])
-    return rows.withColumn("idx", (F.row_number().over(w) - 1).cast("long")).select("series", "idx", "t", "v", "valid")
+    if bucket is None:
+        return rows.withColumn("idx", (F.row_number().over(w) - 1).cast("long")).select("series", "idx", "t", "v", "valid")
+    rows = rows.withColumn("_b", F.floor(F.col("t") / bucket))
+    before = W.partitionBy("series").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    counts = rows.groupBy("series", "_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    within = F.row_number().over(W.partitionBy("series", "_b").orderBy(*[f"_o{i}" for i in range(len(order))]))
+    rows = rows.withColumn("_at", within).join(counts, ["series", "_b"])
+    return rows.select("series", (F.col("_before") + F.col("_at") - 1).cast("long").alias("idx"), "t", "v", "valid")
 
 
 def series_of(spark, name: str, t: Sequence[float], v: Sequence, valid: Sequence[bool] | None = None) -> DataFrame:

@@ -40,7 +40,7 @@ def series_stats(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     ok_idx = F.when(_ok(), F.col("idx"))
     n = F.count(F.lit(1))
     span = F.max_by("t", "idx") - F.min_by("t", "idx")
-    return df.groupBy(*keys).agg(
+    out = df.groupBy(*keys).agg(
         n.cast("long").alias("samples"),
         F.count(ok_idx).cast("long").alias("valid_samples"),
         (n - F.count(use)).cast("long").alias("excluded"),
@@ -50,8 +50,7 @@ def series_stats(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
         (F.max(use) - F.min(use)).alias("peak_to_peak"),
         F.avg(use).alias("mean"),
         F.stddev_pop(use).alias("std"),
-        F.median(use).alias("median"),
-        *[F.percentile(use, F.lit(p)).alias(f"p{round(100 * p)}") for p in FRACTIONS],
+        F.percentile(use, F.array(F.lit(0.5), *[F.lit(p) for p in FRACTIONS])).alias("_ranked"),  # one pass and one table of values
         F.min_by(F.when(_ok(), v), ok_idx).alias("first"),
         F.max_by(F.when(_ok(), v), ok_idx).alias("last"),
         F.min_by("t", "idx").alias("t_first"),
@@ -59,6 +58,9 @@ def series_stats(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
         span.alias("duration"),
         F.try_divide((n - 1).cast("double"), F.when(span > 0, span)).alias("rate"),
     )
+    ranked = {name: F.get("_ranked", F.lit(i)).alias(name) for i, name in enumerate(["median", *[f"p{round(100 * p)}" for p in FRACTIONS]])}
+    shown = [c for c in out.columns if c != "_ranked"]
+    return out.select(*shown[: shown.index("first")], *ranked.values(), *shown[shown.index("first") :])
 
 
 def percentile(df: DataFrame, fraction: float, keys: Sequence[str] = KEY) -> DataFrame:
@@ -144,5 +146,11 @@ def catalog_stats(channels: DataFrame) -> DataFrame:
     )
 
 
+def uniform_width(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, width): the common length in bytes of all payloads, null where they differ or there are none."""
+    n = F.octet_length(column)
+    return df.groupBy(*keys).agg(F.when(F.min(n) == F.max(n), F.min(n)).cast("long").alias("width"))
+
+
 def type_counts(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("type").count().orderBy(F.desc("count"), "type")

@@ -77,15 +77,26 @@ def gps_track(lat: DataFrame, lon: DataFrame, speed: DataFrame | None = None, mo
 _NOT_GPS = ("accel", "force", "error", "err", "dist", "offset", "slip", "plausib")
 
 
+#: What may stand before a coordinate's name.
+_RECEIVERS = ("gps", "gnss", "position", "pos", "nav", "rt", "vbox", "ins", "can_gps", "vehicle_gps")
+
+
+def _behind_receiver(low: str, words: str) -> bool:
+    """A receiver's name, then a coordinate's, perhaps with its unit or more words."""
+    return bool(re.search(rf"^({'|'.join(_RECEIVERS)})[^a-z0-9]*({words})((deg|degrees)?$|_)", low))
+
+
 def is_latitude(name: str) -> bool:
     """Whether a channel name speaks of a latitude."""
     low = name.lower()
-    return bool(re.search(r"(^|[^a-z])lat($|[^a-z]|itude)|latitude", low)) and not any(w in low for w in _NOT_GPS)
+    found = re.search(r"(^|[^a-z])lat($|[^a-z]|itude)|latitude", low) or _behind_receiver(low, "lat|latitude")
+    return bool(found) and not any(w in low for w in _NOT_GPS)
 
 
 def is_longitude(name: str) -> bool:
     low = name.lower()
-    return bool(re.search(r"(^|[^a-z])(lon|lng|long)($|[^a-z]|itude)|longitude", low)) and not any(w in low for w in _NOT_GPS)
+    found = re.search(r"(^|[^a-z])(lon|lng|long)($|[^a-z]|itude)|longitude", low) or _behind_receiver(low, "lon|lng|long|longitude")
+    return bool(found) and not any(w in low for w in _NOT_GPS)
 
 
 def gps_pairs(channels: Sequence[tuple[str, int, int]]) -> tuple | None:

@@ -6,6 +6,7 @@ id is divisible by 11 count as invalid. Orders give a second series, types and r
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,7 +49,7 @@ def seconds(df: DataFrame, column: str) -> Column:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return series.series_from(e, F.col("event_type"), seconds(e, "ts"), F.col("value"), ["ts", "event_id"], F.col("event_id") % 11 != 0)
+    return series.series_from(e, F.col("event_type"), seconds(e, "ts"), F.col("value"), ["ts", "event_id"], F.col("event_id") % 11 != 0, bucket=DAY)
 
 
 def one(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
@@ -123,7 +124,7 @@ def _(spark, sf):
 def labels(spark: SparkSession, sf: str) -> DataFrame:
     """Event types as a text series for every tenth of the users."""
     e = table(spark, sf, "events")
-    return series.series_from(e, F.col("user_id") % 10, seconds(e, "ts"), F.col("event_type"), ["ts", "event_id"], F.col("event_id") % 11 != 0)
+    return series.series_from(e, F.col("user_id") % 10, seconds(e, "ts"), F.col("event_type"), ["ts", "event_id"], F.col("event_id") % 11 != 0, bucket=DAY)
 
 
 @_add("label_runs", """WITH l AS (SELECT user_id % 10 AS series, (row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) - 1)::BIGINT AS idx, epoch_us(ts) / 1e6 AS t, CASE WHEN event_id % 11 <> 0 THEN event_type END AS label FROM events),
@@ -197,13 +198,7 @@ def _(spark, sf):
     return resample.resample(events(spark, sf), 10800.0, "linear", common=True).withColumn("t", F.round("t", 6)).withColumn("v", F.round("v", 6))
 
 
-@_add("resample_onto_orders", f"""WITH {EV}, tg AS (SELECT DISTINCT s.series, epoch_us(o_orderdate) / 1e6 + 3.0e8 AS t FROM orders, (SELECT DISTINCT series FROM ev) s WHERE o_orderkey % 50 = 0), {_ASOF}
-SELECT pn.series, pn.t, coalesce(pv, fv) AS v, coalesce(pk, fk) AS valid FROM pn JOIN f USING (series)""")
-def _(spark, sf):
-    return _onto_orders(spark, sf, table(spark, sf, "orders").where("o_orderkey % 50 = 0"))
-
-
-@_add("resample_onto_every_order", f"""WITH {EV}, tg AS (SELECT DISTINCT s.series, epoch_us(o_orderdate) / 1e6 + 3.0e8 AS t FROM orders, (SELECT DISTINCT series FROM ev) s), {_ASOF}
+@_add("resample_onto_orders", f"""WITH {EV}, tg AS (SELECT DISTINCT s.series, epoch_us(o_orderdate) / 1e6 + 3.0e8 AS t FROM orders, (SELECT DISTINCT series FROM ev) s), {_ASOF}
 SELECT pn.series, pn.t, coalesce(pv, fv) AS v, coalesce(pk, fk) AS valid FROM pn JOIN f USING (series)""")
 def _(spark, sf):
     return _onto_orders(spark, sf, table(spark, sf, "orders"))
@@ -260,14 +255,22 @@ for _op, _sql in _KINDS.items():
     _binary(_op, _sql)
 
 
-@_add("scalar_ops", f"WITH {EV} SELECT series, idx, v + 2.5 AS plus, v * -3 AS times, 10 - v AS minus_from, round(1 / v, 9) AS inverse, -v AS negative, (v > 100)::DOUBLE AS above FROM ev")
+@_add("scalar_ops", f"""WITH {EV}, o AS (SELECT series, idx, unnest([{{'op': 'plus', 'v': v + 2.5}}, {{'op': 'times', 'v': v * -3}}, {{'op': 'minus_from', 'v': 10 - v}}, {{'op': 'inverse', 'v': round(1 / v, 9)}},
+ {{'op': 'negative', 'v': -v}}, {{'op': 'above', 'v': (v > 100)::DOUBLE}}]) AS o FROM ev) SELECT series, idx, o.op AS op, o.v AS v FROM o""")
 def _(spark, sf):
     e = events(spark, sf)
-    v = F.col("v")
-    return e.select(
-        "series", "idx", algebra.calculation("add", v, 2.5).alias("plus"), algebra.calculation("mul", v, -3.0).alias("times"), algebra.calculation("sub", F.lit(10.0), v).alias("minus_from"),
-        F.round(algebra.calculation("div", F.lit(1.0), v), 9).alias("inverse"), (-v).alias("negative"), algebra.calculation("gt", v, 100.0).alias("above"),
-    )
+    parts = {
+        "plus": algebra.scalar(e, "add", 2.5), "times": algebra.scalar(e, "mul", -3.0), "minus_from": algebra.scalar(e, "sub", 10.0, swapped=True),
+        "inverse": algebra.scalar(e, "div", 1.0, swapped=True).withColumn("v", F.round("v", 9)), "negative": algebra.neg(e), "above": algebra.scalar(e, "gt", 100.0),
+    }
+    out = [x.select("series", "idx", F.lit(op).alias("op"), "v") for op, x in parts.items()]
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+@_add("series_object", f"WITH {EV}, {_AB} SELECT (row_number() OVER (ORDER BY t) - 1)::BIGINT AS idx, t, round(2 * va - (-vb) / 4, 5) AS v, valid FROM j")
+def _(spark, sf):
+    a, b = algebra.Series(one(spark, sf, "click")), algebra.Series(one(spark, sf, "view"))
+    return (2 * a - (-b) / 4).df.select("idx", "t", F.round("v", 5).alias("v"), "valid")
 
 
 @_add("computed_channel", f"WITH {EV}, k AS (SELECT series, idx, v, valid, (idx % 3)::DOUBLE AS w FROM ev) SELECT series, idx, round(CASE WHEN abs(w - 1) < 1e-15 THEN 'nan'::DOUBLE ELSE (v * 2 - 4) / (w - 1) END, 6) AS v FROM k")
@@ -326,7 +329,15 @@ def _(spark, sf):
     return windows.valid_islands(events(spark, sf))
 
 
-@_add("decimate_gaps")
+_GAPS = f"""r0 AS (SELECT series, idx, t, v, valid AND isfinite(v) AS ok FROM ev WHERE t BETWEEN {T0} AND {T0 + 20 * DAY}),
+r1 AS (SELECT *, coalesce(lag(ok) OVER (PARTITION BY series ORDER BY idx) <> ok, true)::INTEGER AS new FROM r0), r2 AS (SELECT *, sum(new) OVER (PARTITION BY series ORDER BY idx) AS run FROM r1),
+good AS (SELECT *, count(*) OVER (PARTITION BY series, run) AS n, row_number() OVER (PARTITION BY series, run ORDER BY idx) - 1 AS i, count(*) OVER (PARTITION BY series) AS every FROM r2 WHERE ok),
+g AS (SELECT *, greatest(1, n * 100 // every) AS cols FROM good), c AS (SELECT *, i * cols // n AS c FROM g),
+few AS (SELECT series, idx, t, v FROM c WHERE n <= 2 * cols), d AS (SELECT series, unnest([arg_min(idx, (v, idx)), arg_max(idx, (v, -idx))]) AS idx FROM c WHERE n > 2 * cols GROUP BY series, run, c),
+gaps AS (SELECT series, idx, t, 'nan'::DOUBLE AS v FROM r2 WHERE NOT ok AND new = 1)"""
+
+
+@_add("decimate_gaps", f"WITH {EV}, {_GAPS} SELECT * FROM few UNION ALL (SELECT DISTINCT r0.series, r0.idx, r0.t, r0.v FROM r0 JOIN d USING (series, idx)) UNION ALL SELECT * FROM gaps")
 def _(spark, sf):
     return windows.decimate_gaps(events(spark, sf), T0, T0 + 20 * DAY, 100)
 
@@ -452,14 +463,6 @@ def _(spark, sf):
     )
 
 
-@_add("mux_select", "SELECT event_id, CASE user_id % 4 WHEN 1 THEN 'one' WHEN 2 THEN 'range' WHEN 3 THEN 'range' END AS branch, CASE WHEN user_id % 4 IN (1, 2, 3) THEN (user_id % 256 * 0.5 - 10)::DOUBLE END AS v FROM events")
-def _(spark, sf):
-    data = F.unhex(F.concat(F.lpad(F.hex(F.col("user_id") % 4), 2, "0"), F.lpad(F.hex(F.col("user_id") % 256), 2, "0")))
-    mux, raw = bits.unsigned_field(data, 0, 8), bits.unsigned_field(data, 8, 8)
-    branch = F.when(mux == 1, "one").when(F.exists(F.array(F.struct(F.lit(2).alias("a"), F.lit(3).alias("b"))), lambda r: (mux >= r["a"]) & (mux <= r["b"])), "range")
-    return table(spark, sf, "events").select("event_id", branch.alias("branch"), F.when(branch.isNotNull(), bits.scaled(raw, 0.5, -10.0)).alias("v"))
-
-
 @_add("value_label", "SELECT e.event_id, n.n_name AS label FROM events e LEFT JOIN nation n ON n.n_nationkey = e.user_id % 40")
 def _(spark, sf):
     from gaugeline.operators import bus
@@ -483,15 +486,16 @@ def _(spark, sf):
     return search.names(table(spark, sf, "part").select(F.col("p_name").alias("name")), "*e*a*", "wildcard")
 
 
-@_add("search_ci", "SELECT DISTINCT n_name AS name FROM nation WHERE contains(lower(n_name), 'an')")
+@_add("search_ci", "SELECT DISTINCT n_name AS name FROM nation WHERE contains(lower(n_name), 'tion_2')")
 def _(spark, sf):
-    return search.names(table(spark, sf, "nation").select(F.col("n_name").alias("name")), "aN", "case_insensitive")
+    return search.names(table(spark, sf, "nation").select(F.col("n_name").alias("name")), "tIon_2", "case_insensitive")
 
 
-@_add("search_gui", "SELECT n_name AS name FROM nation WHERE regexp_matches(lower(n_name), 'i.*a$')")
+@_add("search_gui", "SELECT n_name AS name, regexp_matches(lower(n_name), 'n.*1[0-5]$') AS regex, contains(lower(n_name), 'on_1') AS within, lower(n_name) LIKE 'nat%#_2' ESCAPE '#' AS wild FROM nation WHERE regexp_matches(lower(n_name), 'n.*[1-2]')")
 def _(spark, sf):
     n = table(spark, sf, "nation").select(F.col("n_name").alias("name"))
-    return n.where(search.matches(F.col("name"), "I.*a$", "regex"))
+    found = n.where(search.matches(F.col("name"), "N.*[1-2]", "regex"))
+    return found.select("name", search.matches(F.col("name"), "n.*1[0-5]$", "regex").alias("regex"), search.matches(F.col("name"), "ON_1").alias("within"), search.matches(F.col("name"), "nAt*_2", "wildcard").alias("wild"))
 
 
 @_add("table_filter", "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE contains(lower(n_name), '1') OR contains(n_nationkey::VARCHAR, '1') OR contains(n_regionkey::VARCHAR, '1')")
@@ -512,12 +516,7 @@ def _(spark, sf):
     return series.element(e, 3).select("vec_id", "v").join(series.element(e, 199).select("vec_id", F.col("v").alias("beyond")), "vec_id")
 
 
-@_add("flatten_array", 'SELECT vec_id, embedding[1] AS "m[0][0]", embedding[2] AS "m[0][1]", embedding[3] AS "m[1][0]", embedding[4] AS "m[1][1]" FROM embeddings')
-def _(spark, sf):
-    return series.flattened(table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 4).alias("m")), (2, 2), "m")
-
-
-@_add("flatten_array_whole", "SELECT vec_id, " + ", ".join(f'embedding[{8 * i + j + 1}] AS "m[{i}][{j}]"' for i in range(8) for j in range(8)) + " FROM embeddings")
+@_add("flatten_array", "SELECT vec_id, " + ", ".join(f'embedding[{8 * i + j + 1}] AS "m[{i}][{j}]"' for i in range(8) for j in range(8)) + " FROM embeddings")
 def _(spark, sf):
     return series.flattened(table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("m")), (8, 8), "m")
 
@@ -528,28 +527,19 @@ def _(spark, sf):
     return series.attach_axis(c, None, ["conv_id"])
 
 
-@_add("gps_track", f"WITH {EV}, n AS (SELECT max(idx) + 1 AS n FROM ev WHERE series = 'click'), a AS (SELECT idx, t, v FROM ev WHERE series = 'click'), b AS (SELECT idx, v FROM ev WHERE series = 'view') SELECT a.idx, a.t, a.v AS lat, coalesce(b.v, 'nan'::DOUBLE) AS lon FROM a LEFT JOIN b USING (idx), n WHERE a.idx % greatest(1, ceil(n / 500.0)) = 0")
-def _(spark, sf):
-    return xy.gps_track(one(spark, sf, "click"), one(spark, sf, "view"), most=500).select("idx", "t", "lat", "lon")
-
-
-@_add("gps_track_default", f"WITH {EV}, n AS (SELECT max(idx) + 1 AS n FROM ev WHERE series = 'click'), a AS (SELECT idx, t, v FROM ev WHERE series = 'click'), b AS (SELECT idx, v FROM ev WHERE series = 'view') SELECT a.idx, a.t, a.v AS lat, coalesce(b.v, 'nan'::DOUBLE) AS lon FROM a LEFT JOIN b USING (idx), n WHERE a.idx % greatest(1, ceil(n / 20000.0)) = 0")
+@_add("gps_track", f"WITH {EV}, n AS (SELECT max(idx) + 1 AS n FROM ev WHERE series = 'click'), a AS (SELECT idx, t, v FROM ev WHERE series = 'click'), b AS (SELECT idx, v FROM ev WHERE series = 'view') SELECT a.idx, a.t, a.v AS lat, coalesce(b.v, 'nan'::DOUBLE) AS lon FROM a LEFT JOIN b USING (idx), n WHERE a.idx % greatest(1, ceil(n / 20000.0)) = 0")
 def _(spark, sf):
     return xy.gps_track(one(spark, sf, "click"), one(spark, sf, "view")).select("idx", "t", "lat", "lon")
 
 
-@_add("frame_text", "SELECT event_id, upper(to_hex(user_id % 256)) AS hex, strftime(make_timestamp(epoch_us(ts)), '%Y-%m-%d %H:%M:%S') AS label FROM events WHERE event_id % 100 = 0")
+@_add("frame_text", "SELECT event_id, regexp_replace(lpad(upper(to_hex(user_id)), 4, '0'), '(..)(..)', '\\1 \\2') AS hex, strftime(make_timestamp(epoch_us(ts)), '%Y-%m-%d %H:%M:%S') || '.' || lpad(((epoch_us(ts) // 1000) % 1000)::VARCHAR, 3, '0') AS label FROM events")
 def _(spark, sf):
-    return _frame_text(table(spark, sf, "events").where("event_id % 100 = 0"))
-
-
-@_add("frame_text_every", "SELECT event_id, upper(to_hex(user_id % 256)) AS hex, strftime(make_timestamp(epoch_us(ts)), '%Y-%m-%d %H:%M:%S') AS label FROM events")
-def _(spark, sf):
-    return _frame_text(table(spark, sf, "events"))
-
+    from gaugeline.operators import bus
 
-def _frame_text(e: DataFrame) -> DataFrame:
-    return e.select("event_id", F.hex(F.col("user_id") % 256).alias("hex"), F.substring(text.absolute_label((seconds(e, "ts") * 1000).cast("long")), 1, 19).alias("label"))
+    e = table(spark, sf, "events")
+    data = F.unhex(F.lpad(F.hex(F.col("user_id").cast("long")), 4, "0"))
+    millis = F.floor(seconds(e, "ts") * 1000 + 1e-4).cast("long")
+    return e.select("event_id", bus.hex_bytes(data).alias("hex"), text.absolute_label(millis).alias("label"))
 
 
 @_add("json_samples", f"""WITH {EV} SELECT series, idx, '{{"t":' || (idx)::VARCHAR || ',"v":' || CASE WHEN valid THEN (idx * 2)::VARCHAR ELSE 'null' END || '}}' AS json FROM ev""")
@@ -558,8 +548,11 @@ def _(spark, sf):
     return e.select("series", "idx", text.sample_json(F.col("idx"), F.when(F.col("valid"), F.col("idx") * 2)).alias("json"))
 
 
-@_add("same_series", "SELECT true AS same, 0::BIGINT AS differing")
+@_add("same_series", "SELECT * FROM (VALUES ('shuffled', true), ('later', false), ('shorter', false)) AS x(what, same)")
 def _(spark, sf):
     a = events(spark, sf)
-    b = a.repartition(3, "idx")
-    return a.exceptAll(b.select(a.columns)).agg((F.count(F.lit(1)) == 0).alias("same"), F.count(F.lit(1)).cast("long").alias("differing"))
+    others = {"shuffled": a.repartition(3, "idx"), "later": a.withColumn("t", F.col("t") + 1), "shorter": a.where("idx > 0")}
+    return spark.createDataFrame([(k, series.same(a, b)) for k, b in others.items()], "what string, same boolean")
+
+
+from gaugeline import file_queries, value_queries  # noqa: E402, F401 - they enter their queries here

@@ -7,6 +7,7 @@ reads one channel group as a wide table of raw values; each task decodes a range
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -19,12 +20,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from gaugeline.functions.conversions import Conversion, applies_to_text, physical
+from gaugeline.functions.conversions import TEXT_KINDS, Conversion, applies_to_text, physical
 from gaugeline.functions.text import comment_text, metadata_map
 
 MAX_ALLOC = 64 << 20
 MAX_INFLATED = 1 << 30
 RECORDS_PER_TASK = 1_000_000
+#: Bytes of a window that a distant source keeps, and how many of them.
+WINDOW = 64 << 10
+WINDOWS = 64
 _HEAD = 24
 
 
@@ -109,6 +113,36 @@ class Source:
     def __init__(self, fetch: Callable[[int, int], bytes], size: int) -> None:
         self.fetch, self.size = fetch, size
 
+    @classmethod
+    def of_path(cls, path: str) -> Source:
+        """A file that is mounted here, or an object of a store that Arrow's file systems know (s3://, gs://, hdfs://)."""
+        scheme, _, rest = path.partition("://")
+        if not rest or scheme == "file":
+            return cls.of_file(rest or path)
+        import pyarrow.fs
+
+        system, at = pyarrow.fs.FileSystem.from_uri(path)
+        f = system.open_input_file(at)
+        return cls.windowed(lambda a, n: f.read_at(n, a), f.size())
+
+    @classmethod
+    def windowed(cls, fetch: Callable[[int, int], bytes], size: int) -> Source:
+        """A source whose small reads are served from the ``WINDOWS`` windows read last; a read larger than a
+        window goes to the store itself."""
+
+        @functools.lru_cache(maxsize=WINDOWS)
+        def window(k: int) -> bytes:
+            return fetch(k * WINDOW, min(WINDOW, size - k * WINDOW))
+
+        def get(at: int, n: int) -> bytes:
+            n = max(0, min(n, size - at))
+            if n > WINDOW:
+                return fetch(at, n)
+            part = b"".join(window(k) for k in range(at // WINDOW, (at + n - 1) // WINDOW + 1)) if n else b""
+            return part[at % WINDOW : at % WINDOW + n]
+
+        return cls(get, size)
+
     @classmethod
     def of_file(cls, path: str) -> Source:
         f = open(path, "rb")  # noqa: SIM115 - lives as long as the source
@@ -153,7 +187,7 @@ class Mdf4:
 
     @classmethod
     def open(cls, path: str) -> Mdf4:
-        return cls(Source.of_file(path))
+        return cls(Source.of_path(path))
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> Mdf4:
@@ -378,6 +412,27 @@ class Mdf4:
             return self._demultiplexed(g, self.stream(g.data_link))[mate.record_id]
         return self.stream(ch.data_link)
 
+    def payload_range(self, g: Group, ch: Channel, m: np.ndarray) -> tuple[bytes, int]:
+        """(bytes, place of the first one in the stream): the part of the stream that a matrix of records points
+        into; only the data blocks that hold it are read."""
+        if not ch.data_link or self.block(ch.data_link, payload=False).kind == "CG" or not len(m):
+            return self.payloads(g, ch), 0
+        at = _bits(m, ch.byte_offset, ch.bit_offset, ch.bit_count, False)
+        low, high = int(at.min()), int(at.max())
+        got, start, end = [], None, 0
+        for p in self.pieces(ch.data_link):
+            first, end = end, end + p[2]
+            if end <= low:
+                continue
+            if start is not None and first >= high + 4:
+                held = b"".join(got)
+                got = [held]
+                if first - start >= high - start + 4 + int.from_bytes(held[high - start : high - start + 4], "little"):
+                    break
+            start = first if start is None else start
+            got.append(self.plain(p))
+        return b"".join(got), start or 0
+
     def _cg_at(self, g: Group) -> int:
         dg = list(self.chain(self.header.links[0], "DG"))[g.dg]
         return list(self.chain(dg.links[1], "CG"))[g.cg].at
@@ -419,11 +474,13 @@ def plain_data(source: Source, piece: tuple[str, int, int, int]) -> bytes:
         except ImportError as e:
             raise Unsupported("zstd data, and no zstandard module") from e
         raw = zstandard.ZstdDecompressor().decompress(body, max_output_size=size)
+    elif how in (4, 5):
+        raw = pa.decompress(body, decompressed_size=size, codec="lz4", asbytes=True)
     else:
         raise Unsupported(f"compression {how}")
     if len(raw) != size:
         raise MdfError(f"the block at {at} inflates to {len(raw)} of {size} bytes")
-    return untransposed(raw, columns) if how in (1, 3) else raw
+    return untransposed(raw, columns) if how in (1, 3, 5) else raw
 
 
 def untransposed(raw: bytes, columns: int) -> bytes:
@@ -509,8 +566,8 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def decode(m: np.ndarray, ch: Channel, first: int = 0, payloads: bytes = b"") -> pa.Array:
-    """A channel's raw values in a matrix of records."""
+def decode(m: np.ndarray, ch: Channel, first: int = 0, payloads: bytes = b"", base: int = 0) -> pa.Array:
+    """A channel's raw values in a matrix of records; ``payloads`` begins at ``base`` of the channel's stream."""
     kind = _arrow(column_type(ch))
     if ch.shape:
         size = int(np.prod(ch.shape))
@@ -520,7 +577,7 @@ def decode(m: np.ndarray, ch: Channel, first: int = 0, payloads: bytes = b"") ->
     if ch.is_virtual:
         return pa.array(np.arange(first, first + len(m), dtype=np.int64))
     if ch.kind == 1:
-        at = _bits(m, ch.byte_offset, ch.bit_offset, ch.bit_count, False).tolist()
+        at = [int(a) - base for a in _bits(m, ch.byte_offset, ch.bit_offset, ch.bit_count, False).tolist()]
         blobs = [payloads[int(a) + 4 : int(a) + 4 + int.from_bytes(payloads[int(a) : int(a) + 4], "little")] if int(a) + 4 <= len(payloads) else b"" for a in at]
         return pa.array([_string(x, ch.data_type) for x in blobs] if ch.is_text else blobs, kind)
     if ch.data_type in (0, 1, 2, 3, 4, 5):
@@ -553,6 +610,18 @@ def validity(m: np.ndarray, g: Group, ch: Channel) -> np.ndarray | None:
     return m[:, g.data_bytes + ch.inval_bit // 8] >> (ch.inval_bit % 8) & 1 == 0
 
 
+def kind_of_channel(ch: Channel) -> str:
+    """What a channel's samples are: array, text, bytes, f64, or the name of a kind of their own."""
+    if ch.shape:
+        return "array"
+    if ch.kind in (1, 5):
+        return "text" if ch.kind == 1 and ch.is_text else "bytes"
+    if ch.is_text or ch.conversion is not None and ch.conversion.kind in TEXT_KINDS:
+        return "text"
+    own = {13: "canopen_date", 14: "canopen_time", 15: "complex", 16: "complex"}
+    return "f64" if ch.data_type <= 5 else own.get(ch.data_type, "bytes")
+
+
 def unique_names(g: Group) -> dict[int, str]:
     """Column names by channel number; repeated ones carry their place."""
     seen: dict[str, int] = {}
@@ -604,13 +673,13 @@ class MdfReader(DataSourceReader):
             m, first = f.records(g), 0
         else:
             m, first = record_range(f, g, partition.first, partition.count), partition.first
-        streams = {c.cn: f.payloads(g, c) for c in channels if c.kind == 1}
+        streams = {c.cn: f.payload_range(g, c, m) for c in channels if c.kind == 1}
         step = 65_536
         for at in range(0, max(1, len(m)), step):
             part = m[at : at + step]
             cols, heads = [pa.array(np.arange(first + at, first + at + len(part), dtype=np.int64))], ["idx"]
             for c in channels:
-                cols.append(decode(part, c, first + at, streams.get(c.cn, b"")))
+                cols.append(decode(part, c, first + at, *streams.get(c.cn, (b"", 0))))
                 heads.append(names[c.cn])
                 ok = validity(part, g, c)
                 cols.append(pa.array(np.ones(len(part), bool) if ok is None else ok))

@@ -10,13 +10,14 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSourceWriter, WriterCommitMessage
 
 from gaugeline.functions.conversions import Conversion
 from gaugeline.sources.mdf4 import MdfError, Unsupported, transposed
 
-CODECS = {"none": None, "deflate": 0, "transposed_deflate": 1, "zstd": 2, "transposed_zstd": 3}
+CODECS = {"none": None, "deflate": 0, "transposed_deflate": 1, "zstd": 2, "transposed_zstd": 3, "lz4": 4, "transposed_lz4": 5}
 BLOCK = 4 << 20
 
 
@@ -113,14 +114,16 @@ class Mdf4Writer:
         links = []
         for at in range(0, len(raw), step):
             part = raw[at : at + step]
-            body = transposed(part, record) if self.codec in (1, 3) else part
-            if self.codec >= 2:
+            body = transposed(part, record) if self.codec in (1, 3, 5) else part
+            if self.codec >= 4:
+                packed = pa.compress(body, codec="lz4", asbytes=True)
+            elif self.codec >= 2:
                 import zstandard
 
                 packed = zstandard.ZstdCompressor().compress(body)
             else:
                 packed = zlib.compress(body)
-            links.append(self._put("DZ", (), struct.pack("<2sBBIQQ", kind.encode(), self.codec, 0, record if self.codec in (1, 3) else 0, len(part), len(packed)) + packed))
+            links.append(self._put("DZ", (), struct.pack("<2sBBIQQ", kind.encode(), self.codec, 0, record if self.codec in (1, 3, 5) else 0, len(part), len(packed)) + packed))
         offsets = [i * step for i in range(len(links))]
         dl = self._put("DL", [0, *links], struct.pack("<B3xI", 0, len(links)) + struct.pack(f"<{len(links)}Q", *offsets))
         return self._put("HL", [dl], struct.pack("<HB5x", 0, self.codec))

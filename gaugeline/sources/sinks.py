@@ -5,11 +5,12 @@ from __future__ import annotations
 import hashlib
 import os
 import struct
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.ipc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,11 +65,23 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str], units: Sequence[
 
 
 def write_arrow(df: DataFrame, path: str) -> None:
-    """An Arrow IPC file of a wide table, batch by batch from the partitions."""
-    data = df.toArrow()
-    with pa.OSFile(path, "wb") as f, pyarrow.ipc.new_file(f, data.schema) as w:
-        for batch in data.to_batches(max_chunksize=65_536):
-            w.write_batch(batch)
+    """A folder of Arrow IPC files of a wide table, one a partition, written batch by batch by the tasks."""
+    os.makedirs(path, exist_ok=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = f"{path}/part-{TaskContext.get().partitionId():05d}.arrow"
+        writer, rows = None, 0
+        for b in batches:
+            if writer is None:
+                writer = pyarrow.ipc.new_file(f"{part}.tmp", b.schema)
+            writer.write_batch(b)
+            rows += b.num_rows
+        if writer is not None:
+            writer.close()
+            os.replace(f"{part}.tmp", part)
+        yield pa.record_batch([pa.array([rows], pa.int64())], names=["rows"])
+
+    df.mapInArrow(run, "rows long").agg(F.sum("rows")).collect()
 
 
 def write_parquet(df: DataFrame, path: str, compression: str = "snappy") -> None:

@@ -6,12 +6,13 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
-from gaugeline.sources.mdf4 import Mdf4, column_type, decode, record_range, unique_names, validity
+from gaugeline.sources.mdf4 import Mdf4, MdfError, column_type, decode, read_group, record_range, unique_names, validity
 
 
 class GrowingReader(SimpleDataSourceStreamReader):
@@ -75,17 +76,39 @@ def register(spark: SparkSession) -> None:
 
 
 def chunks(df: DataFrame, size: int, order: Sequence[str] = ("idx",)) -> Iterator[pd.DataFrame]:
-    """Windows of at most ``size`` rows in order, one partition in memory at a time."""
+    """Windows of at most ``size`` rows in order. Tasks hand over Arrow batches of at most a window, and the
+    driver holds a few of them and a window at a time."""
     if size <= 0:
         raise ValueError("a window needs at least one row")
-    held: list = []
-    for row in df.orderBy(*order).toLocalIterator(prefetchPartitions=True):
-        held.append(row.asDict())
-        if len(held) == size:
-            yield pd.DataFrame(held)
-            held = []
-    if held:
-        yield pd.DataFrame(held)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, size):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, b.schema) as w:
+                    w.write_batch(b.slice(at, size))
+                yield pa.record_batch([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch"])
+
+    held: list[pa.Table] = []
+    rows = 0
+    for row in df.orderBy(*order).mapInArrow(packed, "batch binary").toLocalIterator(prefetchPartitions=True):
+        held.append(pa.ipc.open_stream(row["batch"]).read_all())
+        rows += held[-1].num_rows
+        while rows >= size:
+            whole = pa.concat_tables(held)
+            yield whole.slice(0, size).to_pandas()
+            held, rows = [whole.slice(size)], rows - size
+    if rows:
+        yield pa.concat_tables(held).to_pandas()
+
+
+def aligned_chunks(spark: SparkSession, path: str, names: Sequence[str], size: int) -> Iterator[pd.DataFrame]:
+    """Windows of several channels of one group with their axis: the same samples of each in every window."""
+    f = Mdf4.open(path)
+    places = [(g.dg, g.cg) for g in f.groups if set(names) <= {c.name for c in g.channels}]
+    if not places:
+        raise MdfError(f"no group holds {', '.join(names)}")
+    yield from chunks(read_group(spark, path, *places[0], list(names)), size)
 
 
 def windowed_stats(stream: DataFrame, width: str, lateness: str, key: str = "series", ts: str = "ts") -> DataFrame:

@@ -43,18 +43,18 @@ def test_entry_points(spark):
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 def test_every_event_is_rendered(spark):
-    assert queries.QUERIES["frame_text_every"](spark, SF).count() == queries.table(spark, SF, "events").count()
+    assert queries.QUERIES["frame_text"](spark, SF).count() == queries.table(spark, SF, "events").count()
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 def test_every_order_stamp_is_resampled_onto(spark):
     stamps = queries.table(spark, SF, "orders").select("o_orderdate").distinct().count()
     kinds = queries.table(spark, SF, "events").select("event_type").distinct().count()
-    assert queries.QUERIES["resample_onto_every_order"](spark, SF).count() == stamps * kinds
+    assert queries.QUERIES["resample_onto_orders"](spark, SF).count() == stamps * kinds
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 def test_whole_vectors_and_tracks(spark):
-    assert len(queries.QUERIES["flatten_array_whole"](spark, SF).columns) == 65
+    assert len(queries.QUERIES["flatten_array"](spark, SF).columns) == 65
     sf = SF.replace("sf0.001", "sf0.01")
-    assert queries.QUERIES["gps_track_default"](spark, sf).count() == queries.one(spark, sf, "click").count() > 500
+    assert queries.QUERIES["gps_track"](spark, sf).count() == queries.one(spark, sf, "click").count() > 500
