@@ -477,3 +477,22 @@ def similar_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> D
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(read(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, row_number() OVER () AS rid,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sh AS (
+  SELECT DISTINCT rid, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM d
+), n AS (SELECT rid, count(*) AS n FROM sh GROUP BY rid),
+c AS (SELECT a.rid AS a, b.rid AS b, count(*) AS i FROM sh a JOIN sh b ON a.s = b.s AND a.rid <> b.rid GROUP BY ALL),
+l AS (SELECT c.a, c.b FROM c JOIN n x ON x.rid = c.a JOIN n y ON y.rid = c.b WHERE 100 * c.i >= 80 * (x.n + y.n - c.i)),
+reach AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON l.a = r.b),
+least_id AS (SELECT r.a AS rid, min(d.doc_id) AS doc_id FROM reach r JOIN d ON d.rid = r.b GROUP BY r.a),
+links AS (SELECT a AS rid, count(*) AS n FROM l GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(least_id.doc_id, d.doc_id)) AS component_id, coalesce(links.n, 0)::BIGINT AS n_links
+FROM d LEFT JOIN n USING (rid) LEFT JOIN least_id USING (rid) LEFT JOIN links USING (rid)
+"""

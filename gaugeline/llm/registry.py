@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_jaccard_join": jaccard.OP2_SQL,
     "op3_warc_fixity": warc.OP3_SQL,
     "op5_vafile": vafile.OP5_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,

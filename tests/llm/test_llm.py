@@ -563,3 +563,128 @@ def test_merkle_audit_of_lost_added_and_equal_records(spark):
     # a lost record leaves every node but its own path as it was
     low = warc.tree(a)[0].join(warc.tree(b)[0].select(F.col("file"), F.col("starts"), F.col("hash").alias("other")), ["file", "starts"]).where("file = 0 AND hash <> other")
     assert low.count() <= 1
+
+
+# -- whole operators by hand --------------------------------------------------------------------------------------------
+
+
+def test_toxicity_scores_by_hand(spark):
+    """Counts, weights, neighbours, votes and calibration worked out plainly, on ties, repeats and clashing names."""
+    rng = random.Random(12)
+    texts = [prose(rng, rng.randint(3, 40), 60) + (" vile grub" if i % 5 == 0 else "") for i in range(120)]
+    texts[30:33] = [texts[31]] * 3
+    labels = [(i, i % 2, int(i % 5 == 0)) for i in range(100)] + [(5, 0, 1), (6, 0, None), (None, 1, 1)]
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    docs = docs_of(spark, [*texts, None, "", "zzz"], [*range(120), 900, 901, 902]).withColumn("a.b", F.lit(1)).withColumn("_toxicity", F.lit("mine"))
+    with pytest.raises(ValueError):
+        toxicity.score_documents(docs, table)
+    got = toxicity.score_documents(docs, table, name="_mine")
+    assert got.columns == [*docs.columns, "_mine"]
+    rows = {r["doc_id"]: r["_mine"] for r in got.collect()}
+
+    by_id = {}
+    for i, _, y in labels:
+        by_id.setdefault(i, set()).add(y)
+    train = [i for i in range(100) if len(by_id[i]) == 1 and by_id[i] <= {0, 1} and zlib.crc32(str(i).encode()) % 5]
+    y = np.array([next(iter(by_id[i])) for i in train])
+    telling = toxicity.select_terms([texts[i] for i in train], y)
+    every = [*texts, "", "", "zzz"]
+    vocabulary = set(telling) | {w for i in train for w in toxicity.words_of(texts[i])}
+
+    def held(text):
+        out = Counter()
+        for w in toxicity.words_of(text):
+            for t in dict.fromkeys([w, *[b for b in toxicity.terms_of(w)[1:] if b in set(telling)]]):
+                if t in vocabulary:
+                    out[t] += 1
+        return out
+
+    df = Counter(t for x in every for t in held(x))
+    weigh = lambda t: (np.log((len(every) + 1) / (df[t] + 1)) + 1) * (toxicity.TELLING if t in telling else 1)
+
+    def unit(text):
+        v = {t: (1 + np.log(n)) * weigh(t) for t, n in held(text).items()}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    vectors = [unit(texts[i]) for i in train]
+    base = np.mean([v for i, _, v in labels if v is not None and i is not None and zlib.crc32(str(i).encode()) % 5])
+    share = y.mean()
+    weight = np.where(y == 1, base / share, (1 - base) / (1 - share))
+
+    def vote(text, leave=None):
+        q = unit(text)
+        cos = [(-round(sum(x * v.get(t, 0) for t, x in q.items()), 9), train[j], j) for j, v in enumerate(vectors) if j != leave]
+        near = [c for c in sorted(cos)[:15] if c[0] < 0]
+        if not near:
+            return None, []
+        w = np.array([weight[j] / (0.05 + 1 + c) for c, _, j in near])
+        return float(w @ y[[j for *_, j in near]] / w.sum()), [i for _, i, _ in near]
+
+    votes = np.array([vote(texts[i], j)[0] or 0.0 for j, i in enumerate(train)])
+    # isotonic regression by its min-max formula
+    places = np.unique(votes)
+    mean = lambda a, b: np.average(y[(votes >= a) & (votes <= b)], weights=weight[(votes >= a) & (votes <= b)])
+    fitted = [max(min(mean(a, b) for b in places[places >= p]) for a in places[places <= p]) for p in places]
+    n = weight.sum()
+    steps = (np.array(fitted) * n + base) / (n + 1)
+    for i, text in zip([*range(120), 900, 901, 902], every, strict=True):
+        v, ids = vote(text)
+        assert [e["doc_id"] for e in rows[i]["evidence"]] == ids
+        if v is not None:
+            assert rows[i]["score"] == pytest.approx(np.interp(v, places, steps), abs=1e-6)
+    assert rows[900]["score"] == rows[901]["score"] == rows[902]["score"] and rows[30] == rows[31] == rows[32]
+    one = table.where("toxic = 1")
+    assert {r["_mine"]["score"] for r in toxicity.score_documents(docs, one, name="_mine").collect()} == {1.0}
+    assert toxicity.score_documents(docs.limit(0), table, name="_mine").count() == 0
+
+
+def test_quality_scores_by_hand(spark):
+    """The weights make the stated loss stationary, the score is the stated line, every row gets the model's score."""
+    rng = random.Random(3)
+    texts = [prose(rng, rng.randint(5, 60)) + "." if i % 3 else " ".join("$$ %% 99" for _ in range(rng.randint(3, 40))) for i in range(200)]
+    labels = [(i, int(i % 3 > 0), 0) for i in range(150)]
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    docs = docs_of(spark, [*texts, None, "", texts[1]], [*range(200), 900, 901, 902]).withColumn("a.b", F.lit(1)).withColumn("_quality", F.lit("mine"))
+    with pytest.raises(ValueError):
+        quality.score_documents(docs, table)
+    rows = {r["doc_id"]: r["_q"] for r in quality.score_documents(docs, table, name="_q").collect()}
+    model = quality.train(docs, table)
+    want = model.score(np.array([quality.features(t) for t in [*texts, "", "", texts[1]]]))
+    assert list(rows.values()) == pytest.approx(want.tolist(), abs=1e-12) and rows[900] == rows[901] and rows[902] == rows[1]
+    train = [i for i in range(150) if zlib.crc32(str(i).encode()) % 5]
+    x, y = np.array([quality.features(texts[i]) for i in train]), np.array([int(i % 3 > 0) for i in train])
+    z = np.clip((x - x.mean(0)) / np.where(x.std(0) < 1e-9, 1, x.std(0)), -6, 6)
+    draw = np.random.default_rng(quality.SEED)
+    diff = z[draw.choice(np.flatnonzero(y == 1), quality.PAIRS)] - z[draw.choice(np.flatnonzero(y == 0), quality.PAIRS)]
+    p = 1 / (1 + np.exp(diff @ model.weights))
+    assert np.abs(-(diff * p[:, None]).mean(0) + quality.L2 * model.weights).max() < 1e-5
+    assert model.cut == pytest.approx(np.quantile(z @ model.weights, (y == 0).mean()))
+    edge = model.slope * (z @ model.weights - model.cut) + np.log(0.3 / 0.7)
+    assert model.score(x) == pytest.approx(1 / (1 + np.exp(-edge)))
+    # the ranking survives, though the labels are told apart without a fault
+    distinct = {tuple(v) for v in z[y == 1].round(9).tolist()}
+    assert len({round(s, 12) for s in model.score(x[y == 1]).tolist()}) > 0.9 * len(distinct)
+
+
+def test_empty_and_null_rows_of_the_rest(spark, tok):
+    odd = docs_of(spark, [None, "", "a", "a", "x y " * 30_000], [None, 1, 1, 1, 2]).withColumn("a.b", F.lit(1))
+    assert bpe.encoded(odd, bpe.vocabulary_path()).count() == 5
+    assert packing.packed(odd, bpe.vocabulary_path()).agg(F.sum("length")).first()[0] == 5 + sum(len(tok.encode(t, add_special_tokens=False).ids) for t in ("", "a", "a", "x y " * 30_000))
+    assert sorted(r["shard"] for r in sharding.shard_documents(odd).collect())[0] >= 0
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    leaves = warc.leaves(pages.select(F.lit(0).alias("file"), "page_id", warc.record(F.col("url"), F.col("html")).alias("raw")), "file", "page_id", "raw")
+    assert warc.audit(leaves, leaves).count() == 0
+    clash = docs_of(spark, ["one line that is long enough", None]).withColumn("_n_lines", F.lit("x")).withColumn("_n_dropped", F.lit("y")).withColumn("a.b", F.lit(1))
+    out = line_dedup.dedup_lines(clash)
+    assert out.columns == [*clash.columns, "__n_lines", "__n_dropped"] and [r["_n_lines"] for r in out.collect()] == ["x", "x"]
+
+
+def test_a_line_repeated_in_few_documents_is_hot(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT_SHARE", 4)
+    line = "the same line of more than twenty"
+    docs = docs_of(spark, ["\n".join([line] * 50), "\n".join([line] * 60), line, *[f"some line of its own, number {i}" for i in range(40)]])
+    lines = line_dedup.hashed_lines(docs)
+    hot = line_dedup.counted(lines).where("hot").collect()
+    assert [(r["n_docs"], r["max_did"]) for r in hot] == [(3, 2)]
+    assert digest(line_dedup.dedup_lines(docs, batches=3)) == lines_by_hand(list(enumerate([r["text"] for r in docs.collect()])))
