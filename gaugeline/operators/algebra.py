@@ -19,24 +19,36 @@ _OPS = {"add": lambda a, b: a + b, "sub": lambda a, b: a - b, "mul": lambda a, b
 _TESTS = ("lt", "le", "gt", "ge", "eq", "ne")
 
 
-def common_stamps(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
-    """The stamps of both series strictly inside their overlap, and its two ends; none without overlap."""
-    ranges = None
-    for x, n in ((a, "a"), (b, "b")):
-        r = x.groupBy(*keys).agg(F.min("t").alias(f"l{n}"), F.max("t").alias(f"h{n}"))
-        ranges = r if ranges is None else ranges.join(r, list(keys))
-    ranges = ranges.select(*keys, F.greatest("la", "lb").alias("lo"), F.least("ha", "hb").alias("hi")).where("lo <= hi")
-    inner = a.select(*keys, "t").unionByName(b.select(*keys, "t")).join(ranges, list(keys)).where("t > lo AND t < hi").select(*keys, "t")
-    ends = ranges.select(*keys, F.explode(F.array("lo", "hi")).alias("t"))
-    return inner.unionByName(ends).distinct()
-
-
 def aligned(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
-    """(keys, t, va, vb, valid_a, valid_b) on the common stamps, both sides linear."""
-    stamps = common_stamps(a, b, keys)
-    x = asof.linear(a, stamps, keys).withColumnsRenamed({"v": "va", "valid": "valid_a"})
-    y = asof.linear(b, stamps, keys).withColumnsRenamed({"v": "vb", "valid": "valid_b"})
-    return x.join(y, [*keys, "t"])
+    """(keys, t, va, vb, valid_a, valid_b) on the stamps of both series inside their overlap, both sides linear
+    (steps where the values are no floating numbers), validity held.
+
+    One pass: a row for each stamp holds each side's first and last sample there, a forward window carries
+    the last samples and a backward one the next.
+    """
+    sides = []
+    for x, n in ((a, "a"), (b, "b")):
+        valid = F.col("valid") if "valid" in x.columns else F.lit(True)
+        sample = F.struct("idx", "t", F.col("v"), valid.alias("valid"))
+        sides.append(x.select(*keys, "t", sample.alias(n)))
+    rows = sides[0].unionByName(sides[1], allowMissingColumns=True).groupBy(*keys, "t")
+    rows = rows.agg(*[f(n).alias(f"{at}_{n}") for n in "ab" for f, at in ((F.min, "first"), (F.max, "last"))])
+    every = W.partitionBy(*keys)
+    up = every.orderBy("t").rowsBetween(W.unboundedPreceding, W.currentRow)
+    down = every.orderBy(F.desc("t")).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumns({f"p_{n}": F.last(f"last_{n}", True).over(up) for n in "ab"}).withColumns({f"n_{n}": F.last(f"first_{n}", True).over(down) for n in "ab"})
+    ends = {f"{f.__name__}_{n}": f(F.when(F.col(f"last_{n}").isNotNull(), F.col("t"))).over(every) for n in "ab" for f in (F.min, F.max)}
+    rows = rows.withColumns(ends).where("t >= greatest(min_a, min_b) AND t <= least(max_a, max_b)")
+    out = []
+    for x, n in ((a, "a"), (b, "b")):
+        p, nxt = F.col(f"p_{n}"), F.col(f"n_{n}")
+        value = p["v"]
+        if x.schema["v"].dataType.typeName() in ("double", "float"):
+            gap = nxt["t"] - p["t"]
+            share = F.when(F.abs(gap) < 1e-15, 0.0).otherwise((F.col("t") - p["t"]) / F.when(gap == 0, 1.0).otherwise(gap))
+            value = F.when(F.col("t") <= F.col(f"min_{n}"), F.col(f"first_{n}")["v"]).when(nxt.isNull(), p["v"]).otherwise(p["v"] * (1 - share) + nxt["v"] * share)
+        out += [value.alias(f"v{n}"), p["valid"].alias(f"valid_{n}")]
+    return rows.select(*keys, "t", *out)
 
 
 def calculation(op: str, a: Column, b: Column | float) -> Column:
@@ -50,7 +62,7 @@ def combine(a: DataFrame, b: DataFrame, op: str, keys: Sequence[str] = KEY, comb
 
     A result is valid if either side is (``combine_valid="and"``: if both are).
     """
-    if a.select(F.lit(1)).isEmpty() or b.select(F.lit(1)).isEmpty():
+    if len(a.select(F.lit(0)).limit(1).union(b.select(F.lit(1)).limit(1)).collect()) < 2:
         raise StructureError("an operand has no samples")
     got = aligned(a, b, keys)
     valid = F.col("valid_a") | F.col("valid_b") if combine_valid == "or" else F.col("valid_a") & F.col("valid_b")

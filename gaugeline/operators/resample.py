@@ -12,28 +12,36 @@ from gaugeline.operators import asof
 from gaugeline.operators.series import KEY
 
 
-def grid_of(low: Column, high: Column, step: float) -> Column:
-    """The raster low + i * step up to high, as an array; a span below 1e-15 is one point.
+#: Points of a raster that one row of bounds stands for before they are made.
+STRETCH = 4_096
 
-    The tolerance is a millionth of the step added to the number of steps; stamps are never summed up.
+
+def _points(span: DataFrame, step: float, names: Sequence[str]) -> DataFrame:
+    """(names, t) of the rasters low + i * step up to high over (_l, _h); a span below 1e-15 is one point.
+
+    The tolerance is a millionth of the step added to the number of steps; stamps are never summed up. The rows
+    of stretches are dealt out before their points are made, so no row and no task holds a whole raster.
     """
     if not (step > 0 and math.isfinite(step)):
         raise ValueError(f"a raster step must be finite and above zero, not {step}")
-    steps = F.when(F.abs(high - low) < 1e-15, F.lit(0)).otherwise(F.floor((high - low) / step + step * 1e-6).cast("long"))
-    return F.transform(F.sequence(F.lit(0).cast("long"), steps.cast("long")), lambda i: low + i.cast("double") * step)
+    steps = F.when(F.abs(F.col("_h") - F.col("_l")) < 1e-15, F.lit(0)).otherwise(F.floor((F.col("_h") - F.col("_l")) / step + step * 1e-6).cast("long")).cast("long")
+    stretches = span.withColumn("_n", steps).withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"_n div {STRETCH}"))))
+    first = F.col("_s") * STRETCH
+    numbers = F.sequence(first, F.least(F.col("_n"), first + STRETCH - 1))
+    return stretches.repartition(*names, "_s").select(*names, "_l", F.explode(numbers).alias("_i")).select(*names, (F.col("_l") + F.col("_i").cast("double") * step).alias("t"))
 
 
 def raster(df: DataFrame, step: float, keys: Sequence[str] = KEY) -> DataFrame:
     """(keys, t): each key's own raster over its first and last stamp."""
     span = df.groupBy(*keys).agg(F.min("t").alias("_l"), F.max("t").alias("_h"))
-    return span.select(*keys, F.explode(grid_of(F.col("_l"), F.col("_h"), step)).alias("t"))
+    return _points(span.where("_l IS NOT NULL"), step, keys)
 
 
 def common_raster(df: DataFrame, step: float, keys: Sequence[str] = KEY) -> DataFrame:
     """(keys, t): one raster over the stamps of all keys, for each key; the span is one row."""
     span = F.broadcast(df.agg(F.min("t").alias("_l"), F.max("t").alias("_h")).withColumn("_one", F.lit(1)))
     names = df.select(*keys).distinct().withColumn("_one", F.lit(1))
-    return names.join(span, "_one").where("_l IS NOT NULL").select(*keys, F.explode(grid_of(F.col("_l"), F.col("_h"), step)).alias("t"))
+    return _points(names.join(span, "_one").where("_l IS NOT NULL"), step, keys)
 
 
 def resample(df: DataFrame, step: float, mode: str = "hold", keys: Sequence[str] = KEY, common: bool = False, bucket: float | None = None) -> DataFrame:

@@ -32,7 +32,9 @@ def pair(x: DataFrame, y: DataFrame, offset_x: float = 0.0, offset_y: float = 0.
     if cross_file and not absolute:
         raise PairRefused("own_zero", "series of two files need one absolute axis")
     x, y = x.withColumn("t", F.col("t") + offset_x), y.withColumn("t", F.col("t") + offset_y)
-    span = [d.agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count(F.lit(1)).alias("n")).first() for d in (x, y)]
+    sides = x.select(F.lit(0).alias("side"), "t").union(y.select(F.lit(1), "t")).groupBy("side").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count(F.lit(1)).alias("n")).collect()
+    by_side = {r["side"]: r for r in sides}
+    span = [by_side.get(i, {"n": 0}) for i in (0, 1)]  # one job over both sides
     if not span[0]["n"] or not span[1]["n"]:
         raise PairRefused("empty", "a series has no samples")
     lo, hi = max(s["lo"] for s in span), min(s["hi"] for s in span)
