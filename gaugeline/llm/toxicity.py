@@ -24,7 +24,6 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -45,8 +44,9 @@ NEIGHBOURS = 15
 BLOCK = 64
 #: Terms that this share of the examples hold are stored as rows, the others as postings.
 ROW_SHARE = 1 / 20
-#: Texts searched together.
-TOGETHER = 256
+#: Texts searched together, and postings that they meet at most, unless one text alone meets more.
+TOGETHER = 64
+SPREAD = 1_000_000
 THRESHOLD = 0.5
 _EPS = 0.05
 
@@ -119,8 +119,8 @@ class Vocabulary:
     def __len__(self) -> int:
         return len(self.number)
 
-    def counts(self, words: list[bytes]) -> tuple[tuple[int, int], ...]:
-        """((term number, count), ...) of the terms in a text."""
+    def counts(self, words: list[bytes]) -> np.ndarray:
+        """Rows (term number, count) of the terms in a text."""
         number, held = self.number, Counter(words)
         out = {t: n for t, n in zip(map(number.get, held), held.values(), strict=True) if t is not None}
         head, heads = PREFIXES[0], self.heads
@@ -128,7 +128,7 @@ class Vocabulary:
             for b in terms_of(w)[1:]:
                 if (t := number.get(b)) is not None:
                     out[t] = out.get(t, 0) + held[w]
-        return tuple(out.items())
+        return np.array(list(out.items()), np.int32).reshape(-1, 2)
 
 
 def _spread(first: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -142,11 +142,12 @@ class BlockMaxIndex:
     ``idf`` may hold more than the frequencies give: it is the weight of a term that occurs once.
     """
 
-    def __init__(self, idf: np.ndarray, counts: list[tuple], ids: list[int], y: np.ndarray, weight: np.ndarray, block: int = BLOCK) -> None:
+    def __init__(self, idf: np.ndarray, counts: list, ids: list[int], y: np.ndarray, weight: np.ndarray, block: int = BLOCK) -> None:
         self.idf = np.asarray(idf, float)
-        keep = [i for i, c in enumerate(counts) if c]
+        counts = [np.asarray(c, np.int32).reshape(-1, 2) for c in counts]
+        keep = [i for i, c in enumerate(counts) if len(c)]
         # alike vectors share blocks, which makes the bounds tight
-        keep.sort(key=lambda i: (sorted(w for w, _ in counts[i]), ids[i]))
+        keep.sort(key=lambda i: (np.sort(counts[i][:, 0]).astype(">i4").tobytes(), ids[i]))
         self.ids = np.array([ids[i] for i in keep], np.int64)
         self.y = np.asarray(y, float)[keep]
         self.weight = np.asarray(weight, float)[keep]
@@ -178,25 +179,37 @@ class BlockMaxIndex:
     def __getstate__(self) -> dict:
         return {**self.__dict__, "counts": None}
 
-    def _vectors(self, counts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _vectors(self, counts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(vector, term, weight) of all entries."""
         n = np.array([len(c) for c in counts], np.int64)
-        flat = np.fromiter(chain.from_iterable(chain.from_iterable(counts)), np.int64, 2 * int(n.sum())).reshape(-1, 2)
+        flat = np.concatenate([np.zeros((0, 2), np.int32), *(np.asarray(c, np.int32).reshape(-1, 2) for c in counts)])
         doc, term = np.repeat(np.arange(len(counts)), n), flat[:, 0]
         x = (1 + np.log(flat[:, 1])) * self.idf[term]
         norm = np.sqrt(np.bincount(doc, x * x, minlength=len(counts)))
         return doc, term, x / np.where(norm > 0, norm, 1.0)[doc]
 
-    def unit(self, counts: tuple) -> list[tuple[int, float]]:
+    def unit(self, counts: np.ndarray | tuple) -> list[tuple[int, float]]:
         _, term, x = self._vectors([counts])
         return list(zip(term.tolist(), x.tolist(), strict=True))
 
-    def nearest(self, counts: tuple, k: int = NEIGHBOURS, leave_out: int | None = None) -> list[tuple[float, int]]:
+    def nearest(self, counts: np.ndarray | tuple, k: int = NEIGHBOURS, leave_out: int | None = None) -> list[tuple[float, int]]:
         """[(cosine, place of the example), ...]: the k largest cosines above 0, ties to the smaller id."""
         return self.nearest_of([counts], k, None if leave_out is None else [leave_out])[0]
 
-    def nearest_of(self, counts: list[tuple], k: int = NEIGHBOURS, leave_out: list[int] | None = None) -> list[list[tuple[float, int]]]:
-        """``nearest`` of each of a few texts."""
+    def nearest_of(self, counts: list, k: int = NEIGHBOURS, leave_out: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """``nearest`` of each of some texts; those whose terms have ``SPREAD`` postings go together, which bounds
+        the memory."""
+        out: list[list[tuple[float, int]]] = []
+        at, held = 0, 0
+        for i, c in enumerate(counts):
+            cost = int(self.many[np.asarray(c, np.int32).reshape(-1, 2)[:, 0]].sum())
+            if i > at and held + cost > SPREAD:
+                out += self._nearest_of(counts[at:i], k, None if leave_out is None else leave_out[at:i])
+                at, held = i, 0
+            held += cost
+        return out + self._nearest_of(counts[at:], k, None if leave_out is None else leave_out[at:])
+
+    def _nearest_of(self, counts: list, k: int, leave_out: list[int] | None) -> list[list[tuple[float, int]]]:
         n, blocks, block = len(counts), self.blocks, self.block
         if not n or not blocks:
             return [[] for _ in counts]
@@ -275,7 +288,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 class ToxicityModel:
     """Vocabulary, index and calibration; ``judge`` gives (score, evidence) of a text."""
 
-    def __init__(self, vocabulary: Vocabulary, ids: list[int], counts: list[tuple], y: np.ndarray, prior: float, df: np.ndarray, n_docs: int, k: int = NEIGHBOURS) -> None:
+    def __init__(self, vocabulary: Vocabulary, ids: list[int], counts: list, y: np.ndarray, prior: float, df: np.ndarray, n_docs: int, k: int = NEIGHBOURS) -> None:
         y = np.asarray(y, float)
         self.k = k
         self.vocabulary = vocabulary
@@ -287,7 +300,7 @@ class ToxicityModel:
         weight = np.where(y == 1, prior / share, (1 - prior) / (1 - share))
         idf = np.log((n_docs + 1) / (np.asarray(df, float) + 1)) + 1
         idf[: vocabulary.telling] *= TELLING
-        none = np.array([not c for c in counts])
+        none = np.array([not len(c) for c in counts])
         self.without = float((weight[none] @ y[none] + prior) / (weight[none].sum() + 1))
         self.index = BlockMaxIndex(idf, counts, ids, y, weight)
         self.steps = (np.array([0.0, 1.0]), np.array([prior, prior]))
@@ -323,8 +336,8 @@ def document_counts(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray
         for b in batches:
             n += len(b)
             for i in range(0, len(b), TOGETHER):
-                met = [t for text in b["text"].iloc[i : i + TOGETHER] for t, _ in vocabulary.counts(words_of(text))]
-                df += np.bincount(np.array(met, np.int64), minlength=len(df))
+                met = [vocabulary.counts(words_of(text))[:, 0] for text in b["text"].iloc[i : i + TOGETHER]]
+                df += np.bincount(np.concatenate(met), minlength=len(df))
         met = np.flatnonzero(df)
         yield pd.DataFrame({"term": [-1, *met.tolist()], "n": [n, *df[met].tolist()]})
 
@@ -342,13 +355,14 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = MAX_EXAMPLES, k: i
         .groupBy("lid").agg(F.first("y").alias("y"), F.max(F.coalesce("text", F.lit(""))).alias("text")).orderBy("lid").toPandas()
     )
     base = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).agg(F.avg("toxic")).first()[0]
-    y = got["y"].to_numpy(int)
-    texts = got["text"].tolist()
+    y, lids = got["y"].to_numpy(int), got["lid"].tolist()
+    texts = got.pop("text").tolist()
     telling = select_terms(texts, y) if len(set(y.tolist())) == 2 else []
     vocabulary = Vocabulary(all_terms(texts, telling) if len(set(y.tolist())) == 2 else [], len(telling))
     df, n = document_counts(docs, vocabulary) if len(vocabulary) else (np.zeros(0), 0)
     counts = [vocabulary.counts(words_of(t)) for t in texts]
-    return ToxicityModel(vocabulary, got["lid"].tolist(), counts, y, float(base if base is not None else 0.5), df, n, k)
+    texts.clear()
+    return ToxicityModel(vocabulary, lids, counts, y, float(base if base is not None else 0.5), df, n, k)
 
 
 def judged(docs: DataFrame, model: ToxicityModel, name: str = "_toxicity") -> DataFrame:
