@@ -3,9 +3,13 @@ broadcasts, and whole-table readers."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -78,3 +82,24 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def held_out(doc_id: Column) -> Column:
     """Rows kept from training: crc32 of the id's decimal text divisible by five (null ids: held out)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
+
+
+def hand_back() -> None:
+    """Gives memory that the allocators hold but nothing uses back to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def handing_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that hands memory back before its first batch and after its last one: a worker
+    waiting for its next task then holds only what that task will find again."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        hand_back()
+        yield from run(batches)
+        hand_back()
+
+    return task

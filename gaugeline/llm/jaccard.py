@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import read, small_side, written
+from gaugeline.llm.common import handing_back, read, small_side, written
 from gaugeline.llm.components import connected_components
 
 WORDS = 5
@@ -131,6 +131,7 @@ def prefix_length(n: int, percent: int = PERCENT, room: int = ROOM) -> int:
 def _profile(docs: DataFrame, k: int) -> DataFrame:
     """Rows of kind 0: (doc id, n, key, sketch); of kind 1: (token, count) of a block's frequent tokens."""
 
+    @handing_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
@@ -173,6 +174,7 @@ def _matrix_rows(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], clash: fro
     """
     sent = docs.sparkSession.sparkContext.broadcast(hot)
 
+    @handing_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = sent.value
         met: set[int] = set()
@@ -212,6 +214,7 @@ def _shared(rows: DataFrame, parts: int) -> DataFrame:
     count is. Salted tokens are known to be shared.
     """
 
+    @handing_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone: tuple | None = None  # the last row, if no other set has had its token yet
         seen: tuple[int, int] | None = None  # else the token and set of the last row
@@ -305,6 +308,7 @@ def _with_sets(docs: DataFrame, roles: DataFrame, clash: frozenset[int], k: int)
     """``roles`` with the whole sets, from the documents that take part."""
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small_side(roles, roles.count(), SHIPPED_ROLES), "doc_id")
 
+    @handing_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, s, own = None, np.empty(0, _U), 0
         for b in _slices(batches):
@@ -405,6 +409,7 @@ def _met(roles: DataFrame, percent: int) -> DataFrame:
         yield from ((0, sids[i], int(counts[i])) for i in np.flatnonzero(counts).tolist())
         yield from ((1, sids[a], sids[b]) for a, b in star_edges(linked, k))
 
+    @handing_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: tuple | None = None
         sides: tuple[dict, dict] = ({}, {})

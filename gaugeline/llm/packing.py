@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeline.llm.bpe import TOGETHER, Bpe, Lexicon, vocabulary_path
-from gaugeline.llm.common import read, written
+from gaugeline.llm.common import handing_back, read, written
 
 SEQUENCE = 2_048
 END_ID = 1
@@ -109,6 +109,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = SEQUENCE, end_id: int = E
     """(doc_id, start, length, ids_crc32, doc_tokens, row): each document's ids cut at the sequence length."""
     end = np.array([end_id], "<u4").tobytes()
 
+    @handing_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon = _lexicon(path)
         row = 0

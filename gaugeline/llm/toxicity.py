@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import fresh, held_out, read
+from gaugeline.llm.common import fresh, hand_back, handing_back, held_out, read
 from gaugeline.llm.quality import sample_ids
 
 #: Bound of the examples of each class, whatever the size of the labels table.
@@ -44,6 +44,8 @@ NEIGHBOURS = 15
 BLOCK = 64
 #: Terms that this share of the examples hold are stored as rows, the others as postings.
 ROW_SHARE = 1 / 20
+#: Texts whose scores and evidence a task holds as objects.
+PIECE = 512
 #: Texts searched together, and postings that they meet at most, unless one text alone meets more.
 TOGETHER = 64
 SPREAD = 1_000_000
@@ -331,6 +333,7 @@ def document_counts(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray
     A task sends one count for each term of the bounded vocabulary that it met.
     """
 
+    @handing_back
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, df = 0, np.zeros(len(vocabulary), np.int64)
         for b in batches:
@@ -372,18 +375,23 @@ def judged(docs: DataFrame, model: ToxicityModel, name: str = "_toxicity") -> Da
 
     @F.pandas_udf("struct<score: double, evidence: array<struct<doc_id: long, cosine: double, toxic: int>>>")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        hand_back()
         for texts in batches:
-            out = model.judge(texts.tolist())
-            yield pd.DataFrame({
-                "score": [s for s, _ in out],
-                "evidence": [[{"doc_id": d, "cosine": c, "toxic": y} for d, c, y in e] for _, e in out],
-            })
+            for at in range(0, len(texts), PIECE):
+                out = model.judge(texts.iloc[at : at + PIECE].tolist())
+                yield pd.DataFrame({
+                    "score": [s for s, _ in out],
+                    "evidence": [[{"doc_id": d, "cosine": c, "toxic": y} for d, c, y in e] for _, e in out],
+                })
+        hand_back()
 
     return docs.withColumn(name, judge(F.col("text")))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, examples: int = MAX_EXAMPLES, k: int = NEIGHBOURS, name: str = "_toxicity") -> DataFrame:
-    return judged(docs, train(docs, labels, examples, k), name)
+    model = train(docs, labels, examples, k)
+    hand_back()
+    return judged(docs, model, name)
 
 
 def op1_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
