@@ -45,7 +45,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import read
+from gaugeline.llm.common import bounded_batches, read
 
 #: Folder of the public tokenizer files; a parameter of everything that reads one.
 TOKENIZERS = "/opt/tokenizers"
@@ -503,7 +503,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
             out.insert(0, "doc_id", b["doc_id"].to_numpy())
             yield out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

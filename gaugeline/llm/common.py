@@ -17,6 +17,9 @@ from pyspark.sql.types import StructType
 #: Rows of two longs that are shipped to every executor at most (32 MB); larger sides are shuffled.
 BROADCAST_ROWS = 2_000_000
 
+#: Bytes of the rows that go to a Python worker together: a batch ends with the row that reaches them.
+BATCH_BYTES = 2_000_000
+
 #: The ASCII white space that the word and line rules name: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -75,6 +78,15 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, its session cutting batches for Python workers by bytes, not only by 10,000 rows of any length;
+    a bound that the session has already stays."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import handing_back, read, small_side, written
+from gaugeline.llm.common import bounded_batches, handing_back, read, small_side, written
 from gaugeline.llm.components import connected_components
 
 WORDS = 5
@@ -441,7 +441,7 @@ def _met(roles: DataFrame, percent: int) -> DataFrame:
 
 def similar_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every document; ``n_links``: the other rows linked directly."""
-    spark = docs.sparkSession
+    spark = bounded_batches(docs).sparkSession
     profile = written(_profile(docs, k), "profile")
     sets = profile.where("kind = 0").select(F.col("id").alias("doc_id"), "n", "hi", "lo", "mins")
     distinct = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("mins").alias("mins"))

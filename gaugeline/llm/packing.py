@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeline.llm.bpe import TOGETHER, Bpe, Lexicon, vocabulary_path
-from gaugeline.llm.common import handing_back, read, written
+from gaugeline.llm.common import bounded_batches, handing_back, read, written
 
 SEQUENCE = 2_048
 END_ID = 1
@@ -129,7 +129,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = SEQUENCE, end_id: int = E
                 yield frame
 
     kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, kinds)
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, kinds)
 
 
 def packed(docs: DataFrame, path: str, capacity: int = SEQUENCE, group: int = GROUP) -> DataFrame:

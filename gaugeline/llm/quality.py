@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import fresh, held_out, read
+from gaugeline.llm.common import bounded_batches, fresh, held_out, read
 
 #: Bound of the training sample, whatever the size of the labels table.
 MAX_TRAINING_ROWS = 6_000
@@ -183,6 +183,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, rows: int = MAX_TRAINING
     """``docs`` with the score as column ``name``; the threshold is where it should be cut."""
     if name != fresh(docs, name):
         raise ValueError(f"the documents have a column {name}; name another one")
+    docs = bounded_batches(docs)
     model = train(docs, labels, rows, threshold)
     return docs.withColumn(name, score_column(model)(F.col("text")))
 

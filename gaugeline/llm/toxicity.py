@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import fresh, hand_back, handing_back, held_out, read
+from gaugeline.llm.common import bounded_batches, fresh, hand_back, handing_back, held_out, read
 from gaugeline.llm.quality import sample_ids
 
 #: Bound of the examples of each class, whatever the size of the labels table.
@@ -389,6 +389,7 @@ def judged(docs: DataFrame, model: ToxicityModel, name: str = "_toxicity") -> Da
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, examples: int = MAX_EXAMPLES, k: int = NEIGHBOURS, name: str = "_toxicity") -> DataFrame:
+    docs = bounded_batches(docs)
     model = train(docs, labels, examples, k)
     hand_back()
     return judged(docs, model, name)
