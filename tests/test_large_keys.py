@@ -18,7 +18,7 @@ def both(spark, path, name, rows):
     got = queries.QUERIES[name](spark, str(path))
     c = duckdb.connect()
     c.execute(f"create view events as select * from '{path}/events.parquet'").fetchall()
-    want = c.execute(f"select {', '.join(got.columns)} from ({queries.ORACLES[name]}) as w").fetchall()
+    want = c.execute("select {} from ({}) as w".format(", ".join(f'"{n}"' for n in got.columns), queries.ORACLES[name])).fetchall()
     return sorted(map(tuple, got.collect()), key=repr), sorted(want, key=repr)
 
 
@@ -26,7 +26,7 @@ def event(i, user=0, kind="click", value=1.5, k=0, at=None):
     return (i, datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=i if at is None else at), user, kind, value, f'{{"k": {k}}}')
 
 
-@pytest.mark.parametrize("name", ["dbc_pgn"])
+@pytest.mark.parametrize("name", ["dbc_pgn", "signals_gathered"])
 def test_frames_hold_whole_user_ids(spark, tmp_path, name):
     users = [5, 255, 256, 65_535, 65_536, 65_657, 89_999, 2**31 + 7, 2**48 + 258, 2**52 + 1]
     got, want = both(spark, tmp_path, name, [event(i, users[i // 3 % len(users)]) for i in range(6 * len(users))])
