@@ -26,7 +26,7 @@ def event(i, user=0, kind="click", value=1.5, k=0, at=None):
     return (i, datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=i if at is None else at), user, kind, value, f'{{"k": {k}}}')
 
 
-@pytest.mark.parametrize("name", ["dbc_pgn", "signals_gathered", "attached_channels", "dbc_exact"])
+@pytest.mark.parametrize("name", ["dbc_pgn", "signals_gathered", "attached_channels", "dbc_exact", "dbc_pgn_source"])
 def test_frames_hold_whole_user_ids(spark, tmp_path, name):
     users = [5, 255, 256, 65_535, 65_536, 65_657, 89_999, 2**31 + 7, 2**48 + 258, 2**52 + 1]
     got, want = both(spark, tmp_path, name, [event(i, users[i // 3 % len(users)]) for i in range(6 * len(users))])
