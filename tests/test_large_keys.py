@@ -31,3 +31,8 @@ def test_frames_hold_whole_user_ids(spark, tmp_path, name):
     users = [5, 255, 256, 65_535, 65_536, 65_657, 89_999, 2**31 + 7, 2**48 + 258, 2**52 + 1]
     got, want = both(spark, tmp_path, name, [event(i, users[i // 3 % len(users)]) for i in range(6 * len(users))])
     assert got == want
+
+
+def test_formula_logarithms_to_the_last_bit(spark, tmp_path):
+    got, want = both(spark, tmp_path, "formula_logarithms", [event(i, k=i) for i in range(200)])
+    assert [tuple(map(repr, r)) for r in got] == [tuple(map(repr, r)) for r in want]
