@@ -1,8 +1,8 @@
 """Named series, computed channels and attached databases: decisions made before Spark sees a plan.
 
 Operands that come from one table of records (the same channel group) stay columns of one row: their
-arithmetic is a projection, with no union of stamps, no as-of lookup and no shuffle. Other operands are
-aligned on the union of their stamps.
+arithmetic is a projection, with no union of stamps, no as-of lookup and no shuffle. An expression over one
+series keeps its samples. Other operands are aligned on the union of their stamps.
 """
 
 from __future__ import annotations
@@ -89,6 +89,8 @@ class Workspace:
         one = {c.group for c in channels.values()}
         if len(one) == 1 and None not in one:
             return self._projected(text, dialect, channels, one.pop())
+        if not web and len({c.name for c in channels.values()}) == 1:
+            return self._alone(text, dialect, channels)
         inputs = {f"c{i}": c.series.withColumn("v", F.col("v").cast("double")) for i, c in enumerate(channels.values())}
         columns = {used: f"c{i}" for i, used in enumerate(channels)}
         if web:
@@ -98,6 +100,14 @@ class Workspace:
             got = got.withColumn("idx", F.row_number().over(algebra.W.partitionBy(*KEY).orderBy("t")).cast("long") - 1)
         return got.select("series", "idx", "t", "v", "valid")
 
+    def _alone(self, text: str, dialect: Dialect, channels: dict[str, Channel]) -> DataFrame:
+        """An expression over one series stays on its samples: those that share a stamp all count."""
+        series = next(iter(channels.values())).series.withColumn("_x", F.col("v").cast("double"))
+        v = compiled(text, dict.fromkeys(channels, "_x"), dialect)
+        valid = F.coalesce("valid", F.lit(True)) & ~F.isnan("_x")
+        got = series.select("series", F.row_number().over(algebra.W.partitionBy(*KEY).orderBy("t", "idx")).cast("long").alias("at"), "t", v.alias("v"), valid.alias("_ok"))
+        return got.select("series", (F.col("at") - 1).alias("idx"), "t", "v", (F.col("_ok") & ~F.isnan("v")).alias("valid"))
+
     def _projected(self, text: str, dialect: Dialect, channels: dict[str, Channel], group: str) -> DataFrame:
         name, time = group.split("\0")
         table, valid = self.groups[name], F.lit(True)

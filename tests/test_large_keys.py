@@ -36,3 +36,8 @@ def test_frames_hold_whole_user_ids(spark, tmp_path, name):
 def test_formula_logarithms_to_the_last_bit(spark, tmp_path):
     got, want = both(spark, tmp_path, "formula_logarithms", [event(i, k=i) for i in range(200)])
     assert [tuple(map(repr, r)) for r in got] == [tuple(map(repr, r)) for r in want]
+
+
+def test_computed_defined_keeps_samples_that_share_a_stamp(spark, tmp_path):
+    got, want = both(spark, tmp_path, "computed_defined", [event(i, value=float(i), at=i // 3) for i in range(30)] + [event(30, value=float("inf"), at=40), event(31, value=2.0, at=41)])
+    assert got == want and len(got) == 32
