@@ -47,6 +47,18 @@ def log(x: Column, base: str = "ln") -> Column:
     return F.when(x < 0, F.lit(NAN)).otherwise(F.arrow_udf(logs, DoubleType())(x))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x rounded to decimals in doubles, as the SQL does: scaled, taken to the nearest whole number (halves away from
+    zero, the sign of a zero kept) and scaled back; x itself where that is not finite.
+
+    Spark's own round goes by the shortest decimal text, which for some numbers lies on the other side of a half.
+    """
+    scale = F.lit(10.0**digits)
+    scaled = x * scale
+    whole = F.when(F.abs(scaled) < 0.5, scaled * 0.0).otherwise(F.round(scaled))
+    return F.when(F.abs(scaled) < INF, whole / scale).otherwise(x)
+
+
 def largest(*xs: Column) -> Column:
     """The largest that is a number; NaN only if none is."""
     return F.coalesce(F.greatest(*[F.nanvl(x, F.lit(None).cast("double")) for x in xs]), xs[0])

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gaugeline.functions import bits, conversions, expressions, text
+from gaugeline.functions import bits, conversions, expressions, ieee, text
 from gaugeline.functions.conversions import Conversion
 from gaugeline.operators import algebra, asof, multifile, resample, search, series, stats, windows, xy
 
@@ -248,7 +248,7 @@ _KINDS: dict[str, str] = {"add": "va + vb", "sub": "va - vb", "mul": "va * vb",
 def _binary(op: str, sql: str) -> None:
     @_add(f"align_{op}", f"WITH {EV}, {_AB} SELECT 's' AS series, (row_number() OVER (ORDER BY t) - 1)::BIGINT AS idx, t, round({sql}, 5) AS v, valid FROM j")
     def _(spark, sf):
-        return algebra.combine(one(spark, sf, "click"), one(spark, sf, "view"), op).withColumn("v", F.round("v", 5))
+        return algebra.combine(one(spark, sf, "click"), one(spark, sf, "view"), op).withColumn("v", ieee.rounded(F.col("v"), 5))
 
 
 for _op, _sql in _KINDS.items():

@@ -41,3 +41,12 @@ def test_formula_logarithms_to_the_last_bit(spark, tmp_path):
 def test_computed_defined_keeps_samples_that_share_a_stamp(spark, tmp_path):
     got, want = both(spark, tmp_path, "computed_defined", [event(i, value=float(i), at=i // 3) for i in range(30)] + [event(30, value=float("inf"), at=40), event(31, value=2.0, at=41)])
     assert got == want and len(got) == 32
+
+
+@pytest.mark.parametrize("name", ["align_div", "align_add", "align_sub"])
+def test_aligned_values_round_as_the_sql_does(spark, tmp_path, name):
+    pairs = [(1.000055, 1.0), (1.000085, 1.0), (2.00031, 2.0), (-1.000155, 1.0), (-1e-9, 1.0), (1.0, 1.0 + 1e-9), (0.0, 3.0), (1.0, 0.0), (0.0, 0.0), (1.000055, 0.0)]
+    pairs += [(47.404805, 0.0), (1e308, 1.0), (1234567890123.4567, 1.0), (2.0, 1e-12), (7.7, 3e-13), (47.4048, 5e-6), (0.015625, 1.0), (5.0, 7.0)]
+    rows = [event(2 * i + j, kind=kind, value=pair[j], at=i) for i, pair in enumerate(pairs) for j, kind in enumerate(("click", "view"))]
+    got, want = both(spark, tmp_path, name, rows)
+    assert [tuple(map(repr, r)) for r in got] == [tuple(map(repr, r)) for r in want] and len(got) == len(pairs)
