@@ -80,19 +80,22 @@ def select_terms(texts: list[str], y: np.ndarray) -> list[bytes]:
     plain: tuple[Counter, Counter] = (Counter(), Counter())
     for text, label in zip(texts, y, strict=True):
         plain[int(label)].update({t for w in set(words_of(text)) for t in terms_of(w)})
-    least = 2 * np.log(max(2, len(plain[0].keys() | plain[1].keys()))) + 2
+    least = 2 * np.log(max(2, len(plain[0]) + sum(t not in plain[0] for t in plain[1]))) + 2
     strong = {t for t, a in plain[1].items() if a + plain[0][t] >= MIN_DOCS and _chi2(a, a + plain[0][t], share) >= least}
     strong |= {t for t, b in plain[0].items() if b >= MIN_DOCS and t not in plain[1] and _chi2(0, b, share) >= least}
+    del plain  # its terms are many times those that stay
     seen: tuple[dict, dict] = (defaultdict(set), defaultdict(set))
     support: tuple[Counter, Counter] = (Counter(), Counter())
     for text, label in zip(texts, y, strict=True):
         w, label = words_of(text), int(label)
         met, new = seen[label], set()
         for before, word, after in zip([b"", *w[:-1]], w, [*w[1:], b""], strict=True):
-            for t in strong.intersection(terms_of(word)):
-                if (before, after) not in met[t]:
-                    met[t].add((before, after))
-                    new.add(t)
+            if found := strong.intersection(terms_of(word)):
+                context = before + b" " + after  # words hold no space
+                for t in found:
+                    if context not in met[t]:
+                        met[t].add(context)
+                        new.add(t)
         support[label].update(new)
     found = []
     for t in strong:
@@ -121,6 +124,12 @@ class Vocabulary:
     def __len__(self) -> int:
         return len(self.number)
 
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "number": b" ".join(self.number)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state, number={t: i for i, t in enumerate(state["number"].split())})
+
     def counts(self, words: list[bytes]) -> np.ndarray:
         """Rows (term number, count) of the terms in a text."""
         number, held = self.number, Counter(words)
@@ -157,38 +166,55 @@ class BlockMaxIndex:
         self.blocks, self.block = -(-len(keep) // block), block
         doc, term, x = self._vectors(self.counts)
         held = np.bincount(term, minlength=len(self.idf))
-        self.row = np.full(len(self.idf), -1)
+        self.row = np.full(len(self.idf), -1, np.int32)
         rows = np.flatnonzero(held > max(1.0, ROW_SHARE * len(keep)))
         self.row[rows] = np.arange(len(rows))
         dense = self.row[term] >= 0
         self.rows = np.zeros((len(rows), self.blocks * block))
         self.rows[self.row[term[dense]], doc[dense]] = x[dense]
-        self.row_largest = self.rows.reshape(len(rows), self.blocks, block).max(axis=2, initial=0.0)
         doc, term, x = doc[~dense], term[~dense], x[~dense]
-        order = np.lexsort((doc, term))
-        self.doc, self.x = doc[order].astype(np.int32), x[order]
-        self.many = np.bincount(term, minlength=len(self.idf))
+        order = np.argsort(term, kind="stable")  # within a term the examples stay in their order
+        self.doc, self.x = doc[order], x[order]
+        self.many = np.bincount(term, minlength=len(self.idf)).astype(np.int32)
+        self._derive()
+
+    def _derive(self) -> None:
+        """Where each term's postings begin, and for each term and block the largest weight."""
+        self.row_largest = self.rows.reshape(len(self.rows), self.blocks, self.block).max(axis=2, initial=0.0)
         self.first = np.cumsum(self.many) - self.many
-
-        # the same by block: for each term and block the largest weight
-        at, inverse = np.unique(term[order].astype(np.int64) * max(1, self.blocks) + self.doc // block, return_inverse=True)
-        self.block_x = np.zeros(len(at))
-        np.maximum.at(self.block_x, inverse, self.x)
-        self.block_of = (at % max(1, self.blocks)).astype(np.int32)
-        self.block_many = np.bincount(at // max(1, self.blocks), minlength=len(self.idf))
+        term, of = np.repeat(np.arange(len(self.idf), dtype=np.int32), self.many), self.doc // self.block
+        new = np.ones(len(of), bool)
+        new[1:] = (term[1:] != term[:-1]) | (of[1:] != of[:-1])
+        at = np.flatnonzero(new)
+        self.block_x = np.maximum.reduceat(self.x, at) if len(at) else np.zeros(0)
+        self.block_of = of[at]
+        self.block_many = np.bincount(term[at], minlength=len(self.idf)).astype(np.int32)
         self.block_first = np.cumsum(self.block_many) - self.block_many
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "counts": None}
+        """Without what ``_derive`` gives, and of the rows only what is in them: every task gets a copy."""
+        derived = ("row_largest", "first", "block_x", "block_of", "block_many", "block_first")
+        at = np.flatnonzero(self.rows)
+        state = {k: v for k, v in self.__dict__.items() if k not in derived}
+        return {**state, "counts": None, "rows": (self.rows.shape, at, self.rows.reshape(-1)[at])}
+
+    def __setstate__(self, state: dict) -> None:
+        shape, at, x = state["rows"]
+        self.__dict__.update(state, rows=np.zeros(shape))
+        self.rows.reshape(-1)[at] = x
+        self._derive()
 
     def _vectors(self, counts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(vector, term, weight) of all entries."""
         n = np.array([len(c) for c in counts], np.int64)
         flat = np.concatenate([np.zeros((0, 2), np.int32), *(np.asarray(c, np.int32).reshape(-1, 2) for c in counts)])
-        doc, term = np.repeat(np.arange(len(counts)), n), flat[:, 0]
-        x = (1 + np.log(flat[:, 1])) * self.idf[term]
+        doc, term = np.repeat(np.arange(len(counts), dtype=np.int32), n), flat[:, 0]
+        x = np.log(flat[:, 1])
+        x += 1
+        x *= self.idf[term]
         norm = np.sqrt(np.bincount(doc, x * x, minlength=len(counts)))
-        return doc, term, x / np.where(norm > 0, norm, 1.0)[doc]
+        x /= np.where(norm > 0, norm, 1.0)[doc]
+        return doc, term, x
 
     def unit(self, counts: np.ndarray | tuple) -> list[tuple[int, float]]:
         _, term, x = self._vectors([counts])
@@ -221,9 +247,16 @@ class BlockMaxIndex:
         q[doc[dense], self.row[term[dense]]] = x[dense]
         doc, term, x = doc[~dense], term[~dense], x[~dense]
 
+        ends = np.searchsorted(doc, np.arange(n + 1))
+
         def added(first: np.ndarray, many: np.ndarray, to: np.ndarray, by: np.ndarray, width: int) -> np.ndarray:
-            at, m = _spread(first[term], many[term]), many[term]
-            return np.bincount(np.repeat(doc * width, m) + to[at], np.repeat(x, m) * by[at], minlength=n * width).reshape(n, width).astype(float, copy=False)  # of nothing it is of integers
+            out = np.zeros((n, width))
+            for i in range(n):  # one text's postings at a time
+                own = slice(ends[i], ends[i + 1])
+                m = many[term[own]]
+                at = _spread(first[term[own]], m)
+                out[i] = np.bincount(to[at], np.repeat(x[own], m) * by[at], minlength=width)
+            return out
 
         bounds = q @ self.row_largest + added(self.block_first, self.block_many, self.block_of, self.block_x, blocks)
         scores = added(self.first, self.many, self.doc, self.x, blocks * block)
@@ -308,12 +341,12 @@ class ToxicityModel:
         self.steps = (np.array([0.0, 1.0]), np.array([prior, prior]))
         if len(self.index.ids):
             own = range(len(self.index.ids))
-            near = [x for i in own[::TOGETHER] for x in self.index.nearest_of(self.index.counts[i : i + TOGETHER], k, list(own[i : i + TOGETHER]))]
-            votes = np.array([self.index.vote(x) for x in near])
+            votes = np.array([self.index.vote(x) for i in own[::TOGETHER] for x in self.index.nearest_of(self.index.counts[i : i + TOGETHER], k, list(own[i : i + TOGETHER]))])
             xs, ys = isotonic(votes, self.index.y, self.index.weight)
             # a pseudo-example at the prior keeps the ends off 0 and 1
             n = self.index.weight.sum()
             self.steps = (xs, (ys * n + prior) / (n + 1))
+        self.index.counts = None  # only the calibration asks for them
 
     def judge(self, texts: list[str | None]) -> list[tuple[float, tuple]]:
         """The calibrated score of each text, and ((example id, cosine, toxic), ...) of its nearest examples."""

@@ -478,6 +478,45 @@ def test_search_of_many_is_exact_over_all_terms():
             assert np.allclose([x for x, _ in near], s[want])
 
 
+def test_model_travels_without_what_can_be_made_again():
+    """The driver and every task hold the sent bytes beside the model."""
+    import pickle
+
+    rng = np.random.default_rng(5)
+    counts = [np.array(sorted(Counter(np.minimum(rng.zipf(1.4, 120), 5000).tolist()).items()), np.int32) for _ in range(2000)]
+    y = np.arange(2000) % 2
+    words = [f"word{i}".encode() for i in range(5001)]
+    model = toxicity.ToxicityModel(toxicity.Vocabulary(words, 10), list(range(2000)), counts, y, 0.3, rng.integers(1, 900, 5001), 9000)
+    sent = pickle.dumps(model, protocol=5)
+    assert len(sent) < 0.6 * sum(v.nbytes for v in vars(model.index).values() if isinstance(v, np.ndarray))
+    again = pickle.loads(sent)
+    assert list(again.vocabulary.number.items()) == list(model.vocabulary.number.items())
+    for name, v in vars(model.index).items():
+        assert np.array_equal(getattr(again.index, name), v), name
+    texts = [" ".join(f"word{i}" for i in rng.zipf(1.4, 50)) for _ in range(70)] + ["", None]
+    assert again.judge(texts) == model.judge(texts)
+    empty = toxicity.Vocabulary([])
+    assert pickle.loads(pickle.dumps(empty)).number == {}
+
+
+def test_search_spreads_one_text_at_a_time():
+    """What a group of texts meets in the index is not held at once."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    counts = [np.stack([rng.permutation(400)[:19], rng.integers(1, 4, 19)], 1).astype(np.int32) for _ in range(4000)]
+    index = toxicity.BlockMaxIndex(np.ones(400), counts, list(range(4000)), np.arange(4000) % 2, np.ones(4000))
+    asked = [np.stack([np.arange(80 * (i % 5), 80 * (i % 5) + 80), np.ones(80)], 1).astype(np.int32) for i in range(toxicity.TOGETHER)]
+    met = sum(int(index.many[c[:, 0]].sum()) for c in asked)
+    assert 500_000 < met < toxicity.SPREAD
+    tracemalloc.start()
+    found = index.nearest_of(asked)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 24 * met
+    assert found[7] == index.nearest(asked[7])
+
+
 # -- sharding, archives ------------------------------------------------------------------------------------------------
 
 
